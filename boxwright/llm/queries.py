@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .substring_dedup import op3_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL = {
