@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL = {
