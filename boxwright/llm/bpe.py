@@ -207,10 +207,6 @@ class Bpe:
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
         """The encodings of words that aren't in the cache. Those of ordinary length stay in it."""
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        if len(self.tokens) >= CACHE:
-            self.tokens.clear()
         cuts = {w: self.cuts(w) for w in words}
         new = list({p for found in cuts.values() for p in found if p not in self.tokens and p not in self.added})
         short = [p for p in new if len(p) <= Merges.WIDE]
@@ -242,6 +238,10 @@ class Bpe:
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         data = words.data.tobytes()
         names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        if len(self.tokens) >= CACHE:
+            self.tokens.clear()
         rare = self.learn({w for w in names if w not in self.words})
         found = [self.words.get(w) or rare[w] for w in names]
         counts = np.array([x[1] for x in found] or [0], np.int64)
