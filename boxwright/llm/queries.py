@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .fingerprint import op5_simhash
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
     "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL = {
