@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .fingerprint import op5_simhash
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .mixing import op7_mixing
 from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL = {
