@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .spark_util import scan_bytes
 from .text import U64, Words, column, slices, window_starts, windows
 
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 
 class _Chunk:
