@@ -8,6 +8,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op7_mixing
 from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .toxicity import op6_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
 }
