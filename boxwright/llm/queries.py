@@ -6,6 +6,7 @@ from .bpe import op2_bpe
 from .fingerprint import op5_simhash
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op7_mixing
+from .ngram_join import op9_ngram_join
 from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op6_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,

@@ -1,23 +1,16 @@
-"""What the operators share on the Spark side: checkpoints, sizes, and groups that stream through Arrow."""
+"""What the operators share on the Spark side: saved tables, sizes, and groups that stream through Arrow."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read from there; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def scan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size in bytes (for a scan, that of its files). Reads nothing."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -47,3 +40,14 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             at = end
     if held:
         yield pa.Table.from_batches(held)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared folder of ``spark.checkpoint.dir`` and read again: cuts the lineage, survives lost executors."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_boxwright_folder", None)
+    if not folder:
+        folder = context._boxwright_folder = tempfile.mkdtemp(prefix="checkpoint-")
+    path = f"{folder.rstrip('/')}/boxwright/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
