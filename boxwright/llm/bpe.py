@@ -205,6 +205,12 @@ class Bpe:
     def _made(self, ids: list[int]) -> tuple[str, int, str]:
         return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
+    def trim(self) -> None:
+        """Empties full caches; to be called before missing words are listed."""
+        for cache in (self.words, self.tokens):
+            if len(cache) >= CACHE:
+                cache.clear()
+
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
         """The encodings of words that aren't in the cache. Those of ordinary length stay in it."""
         cuts = {w: self.cuts(w) for w in words}
@@ -238,10 +244,7 @@ class Bpe:
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         data = words.data.tobytes()
         names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        if len(self.tokens) >= CACHE:
-            self.tokens.clear()
+        self.trim()
         rare = self.learn({w for w in names if w not in self.words})
         found = [self.words.get(w) or rare[w] for w in names]
         counts = np.array([x[1] for x in found] or [0], np.int64)
@@ -257,8 +260,22 @@ class Bpe:
             a, b = bounds[i], bounds[i + 1]
             yield " ".join(ids[a:b].tolist()), int(totals[i + 1] - totals[i]), " ".join(back[a:b].tolist())
 
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for x in next(self.digests(pa.array([text], pa.large_string())))[0].split()]
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each whole text. Texts of a few MB in all."""
+        words = Words(texts)
+        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        data = words.data.tobytes()
+        names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        self.trim()
+        rare = self.learn({w for w in names if w not in self.words})
+        found = [self.words.get(w) or rare[w] for w in names]
+        counts = np.array([x[1] for x in found], np.int64)
+        flat = np.array(" ".join([x[0] for x in found if x[1]]).split(), np.int32)
+        n = counts[which] if len(which) else counts
+        begin = np.repeat((np.cumsum(counts) - counts)[which] - (np.cumsum(n) - n), n) if len(which) else counts
+        ids = flat[begin + np.arange(len(begin))]
+        ends = np.concatenate([[0], np.cumsum(n)])[words.bounds]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def worker_bpe(path: str) -> Bpe:
@@ -279,8 +296,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for b in batches:
-            ids = pa.array([[int(i) for i in x.split()] for _, part in slices(column(b, text)) for x, _, _ in bpe.digests(part)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+            for first, part in slices(column(b, text)):
+                own = b.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, bpe.encode(part)], [*b.schema.names, out])
 
     return base.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .fingerprint import op5_simhash
+from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op7_mixing
 from .ngram_join import op9_ngram_join
@@ -22,8 +23,10 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op10_license_scan": OP10_SQL,
 }
