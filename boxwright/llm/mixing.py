@@ -15,7 +15,8 @@ The driver holds a row per source and the table of shards x sources; everything
 draws depend on ``seed`` and on the data alone, so reruns agree.
 
 Defined results: null and empty texts have no words and are never taken; null sources are one source;
-sources without words get the target 0; repeated rows are documents of their own; an empty table gives
+sources without words get the target 0; rows that repeat a doc_id and a
+text lie in the row each for itself, and each shows what is taken of all of them together; an empty table gives
 an empty table; columns other than those named aren't carried.
 """
 
@@ -32,6 +33,7 @@ from .spark_util import scan_bytes
 from .text import U64, Words, column, mix, slices
 
 BLOCK, SHARDS = 128, 64
+RUN = 65_536  # slots of one row of the draw table, at most
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = np.concatenate([Words(p).counts for _, p in slices(column(b))] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), b.column("_h")], ["doc_id", "source", "size", "_h"])
 
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).alias("_h"))
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("_h"))
     return rows.mapInArrow(run, "doc_id long, source string, size long, _h long")
 
 
@@ -133,28 +135,29 @@ class Mix:
                 if c:
                     rows.append((k, self.names[j], self.blocks[j], j, at[j], c, slot))
                     at[j], slot = at[j] + c, slot + c
-        drawn = self.spark.createDataFrame(rows, "shard int, source string, _n long, _j int, _from long, _c long, _slot long")
-        step = 4096
-        runs = drawn.withColumn("_r", F.explode(F.expr(f"sequence(0L, (_c - 1) div {step})"))).repartition(max(1, len(rows) // 8), "shard", "_j", "_r")
-        one = runs.withColumn("_i", F.explode(F.expr(f"sequence(_r * {step}, least(_c, (_r + 1) * {step}) - 1)")))
+        runs = [(shard, source, n, j, first + r, min(RUN, c - r), slot + r) for shard, source, n, j, first, c, slot in rows for r in range(0, c, RUN)] if len(rows) < 1 << 20 else rows
+        table = self.spark.createDataFrame(runs, "shard int, source string, n long, j long, first long, count long, slot long")
         seed = self.seed
 
-        @F.pandas_udf("long")
-        def place(i, n, j):
-            import pandas as pd
-
-            i, n = i.to_numpy(), n.to_numpy()
-            with np.errstate(over="ignore"):
-                key = mix((j.to_numpy().astype(U64) << U64(32)) + (i // n).astype(U64) + U64(seed) * U64(0xD6E8FEB86659FD93))
-            return pd.Series(permute(i % n, n, key))
-
-        number = F.col("_from") + F.col("_i")
-        return one.select("shard", (F.col("_slot") + F.col("_i")).alias("slot"), "source", place(number, "_n", "_j").alias("block"), F.floor(number / F.col("_n")).alias("epoch"))
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    for at in range(0, r["count"], RUN):
+                        i = np.arange(r["first"] + at, r["first"] + min(r["count"], at + RUN))
+                        n = np.full(len(i), r["n"])
+                        epoch = i // n
+                        with np.errstate(over="ignore"):
+                            key = mix((U64(r["j"]) << U64(32)) + epoch.astype(U64) + U64(seed) * U64(0xD6E8FEB86659FD93))
+                        slot = r["slot"] + at + np.arange(len(i))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["shard"], np.int32)), pa.array(slot), pa.array([r["source"]] * len(i), pa.string()), pa.array(permute(i % n, n, key)), pa.array(epoch)], ["shard", "slot", "source", "block", "epoch"])
+
+        spread = max(1, min(len(runs), sum(r[5] for r in rows) // 200_000))
+        return table.repartition(spread).mapInArrow(place, "shard int, slot long, source string, block long, epoch long")
 
     def drawn(self) -> DataFrame:
         """shard, slot, epoch and the segment of every document part in a drawn block."""
         same = F.col("s.source").eqNullSafe(F.col("d.source")) & (F.col("s.block") == F.col("d.block"))
-        return self.slots().alias("s").join(self.segments().alias("d"), same).select("shard", "slot", "epoch", "d.*")
+        return self.slots().alias("s").hint("merge").join(self.segments().alias("d"), same).select("shard", "slot", "epoch", "d.*")
 
 
 def _window(keys, order, rows: bool = False):
@@ -171,8 +174,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     plan = Mix(docs, **options)
     spans = plan.drawn().groupBy("doc_id", "_h", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"))
     names = list(docs.columns)
-    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    rows = docs.withColumn("_h", key).alias("t").join(spans.withColumnRenamed("doc_id", "_d").alias("s"), (F.col("t._h") == F.col("s._h")) & F.col("t.doc_id").eqNullSafe(F.col("s._d")))
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.withColumn("_h", key).alias("t").hint("merge").join(spans.withColumnRenamed("doc_id", "_d").alias("s"), (F.col("t._h") == F.col("s._h")) & F.col("t.doc_id").eqNullSafe(F.col("s._d")))
     wanted = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted)
 
@@ -199,7 +202,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     plan = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     taken = plan.drawn().groupBy("doc_id", "_h").agg(F.sum("n_words").alias("taken"))
-    rows = plan.rows.alias("d").join(taken.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}), (F.col("d._h") == F.col("_g")) & F.col("d.doc_id").eqNullSafe(F.col("_d")), "left")
+    rows = plan.rows.alias("d").hint("merge").join(taken.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}), (F.col("d._h") == F.col("_g")) & F.col("d.doc_id").eqNullSafe(F.col("_d")), "left")
     size, target = F.lit(None).cast("long"), F.lit(None).cast("double")
     known = [(s, n, plan.targets[s]) for s, n in plan.totals.items()]
     per = spark.createDataFrame(known, "_s string, source_size long, target double") if known else spark.createDataFrame([], "_s string, source_size long, target double")
