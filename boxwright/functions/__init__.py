@@ -1 +1 @@
-"""See the package README section of this name."""
+"""Box schemas and column expressions: predicates, distances, measures."""

@@ -1 +1 @@
-"""See the package README section of this name."""
+"""Queries, joins, statistics, indexes and updates over box tables."""

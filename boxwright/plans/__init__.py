@@ -1 +1 @@
-"""See the package README section of this name."""
+"""Views over the test tables and the catalogue of registered queries."""

@@ -1 +1 @@
-"""See the package README section of this name."""
+"""Readers and writers of box files and dumps."""

@@ -1 +1 @@
-"""See the package README section of this name."""
+"""Queries over boxes that arrive as a stream."""
