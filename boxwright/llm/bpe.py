@@ -9,7 +9,7 @@ The vocabulary file (a parameter) is the JSON of the ``tokenizers`` library: its
 pre-tokeniser cut a text into pre-tokens, the merges are applied here. Short pre-tokens
 are merged many at a time, their trees being the rows of one matrix. Words recur, so each Python worker
 keeps the encodings of words and of pre-tokens in two dictionaries of bounded size (``CACHE`` entries,
-emptied when full): a time saving only, results don't depend on it.
+emptied when full and at the end of a task): a time saving only, results don't depend on it.
 
 Runs as one ``mapInArrow`` over the scan: no shuffle, and nothing is kept between tasks but the cache.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from .text import Words, column, slices
 
-CACHE = 500_000
+CACHE = 250_000
 INF = 1 << 62
 
 
@@ -160,6 +160,42 @@ class Merges:
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+class _Stretches(Words):
+    """Words cut where pre-tokens part for certain, so that fewer different ones remain: marks at the end of a
+    word go after an ASCII letter or digit, and words of ASCII without ``<`` are lower-cased."""
+
+    def __init__(self, texts: pa.Array):
+        super().__init__(texts)
+        if not len(self):
+            return
+        data = self.bytes
+        other = np.concatenate([[0], np.cumsum((data >= 128) | (data == 60))])
+        step = np.zeros(len(data) + 1, np.int32)
+        as_is = other[self.ends] > other[self.starts]
+        step[self.starts[as_is]] += 1
+        step[self.ends[as_is]] -= 1
+        upper = (data >= 65) & (data <= 90) & (np.cumsum(step[:-1]) == 0)
+        self.bytes = np.where(upper, data + 32, data).astype(np.uint8)
+        cut = self.ends.copy()
+        live = np.arange(len(cut))
+        while len(live):
+            live = live[(cut[live] > self.starts[live]) & _MARK[data[np.maximum(cut[live] - 1, 0)]]]
+            cut[live] -= 1
+        both = np.flatnonzero((cut < self.ends) & (cut > self.starts) & _ALNUM[data[np.maximum(cut - 1, 0)]])
+        more = np.concatenate([[0], np.cumsum(np.bincount(both, minlength=len(cut)))])
+        self.bounds = self.bounds + more[self.bounds]
+        starts = np.insert(self.starts, both + 1, cut[both])
+        ends = self.ends.copy()
+        ends[both] = cut[both]
+        self.starts, self.ends = starts, np.insert(ends, both + 1, self.ends[both])
+
+
 class Bpe:
     """One vocabulary: whole texts to ids, and ids to text."""
 
@@ -188,7 +224,7 @@ class Bpe:
     def cuts(self, text: str) -> list[str]:
         """Pre-tokens, in the byte alphabet, and special tokens of a stretch without ASCII white space."""
         if text.isascii() and "<|" not in text and text.isprintable():  # normalised by lower case alone; each character is its own byte symbol
-            return self.pieces.findall(text.lower())
+            return [text.lower()] if text.isalpha() else self.pieces.findall(text.lower())
         found = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
@@ -205,10 +241,10 @@ class Bpe:
     def _made(self, ids: list[int]) -> tuple[str, int, str]:
         return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
-    def trim(self) -> None:
-        """Empties full caches; to be called before missing words are listed."""
+    def trim(self, most: int | None = None) -> None:
+        """Empties caches that are full (or over ``most``); to be called before missing words are listed."""
         for cache in (self.words, self.tokens):
-            if len(cache) >= CACHE:
+            if len(cache) >= (CACHE if most is None else most):
                 cache.clear()
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
@@ -240,9 +276,9 @@ class Bpe:
 
     def digests(self, texts: pa.Array) -> Iterator[tuple[str, int, str]]:
         """(ids with spaces between, their number, decoded text) of each whole text. Texts of a few MB in all."""
-        words = Words(texts)
+        words = _Stretches(texts)
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        data = words.data.tobytes()
+        data = words.bytes.tobytes()
         names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
         self.trim()
         rare = self.learn({w for w in names if w not in self.words})
@@ -262,9 +298,9 @@ class Bpe:
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each whole text. Texts of a few MB in all."""
-        words = Words(texts)
+        words = _Stretches(texts)
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        data = words.data.tobytes()
+        data = words.bytes.tobytes()
         names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
         self.trim()
         rare = self.learn({w for w in names if w not in self.words})
@@ -283,6 +319,7 @@ def worker_bpe(path: str) -> Bpe:
     kept = sys.modules.setdefault("_boxwright_bpe", types.ModuleType("_boxwright_bpe")).__dict__
     if path not in kept:
         kept[path] = Bpe(path)
+    kept[path].trim(0)  # what the task before has left
     return kept[path]
 
 
@@ -299,6 +336,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out
             for first, part in slices(column(b, text)):
                 own = b.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, bpe.encode(part)], [*b.schema.names, out])
+        bpe.trim(0)
 
     return base.mapInArrow(run, schema)
 
@@ -333,6 +371,7 @@ def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ids.append(hashlib.sha256(x.encode()).hexdigest())
                     back.append(hashlib.sha256(y.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.trim(0)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
