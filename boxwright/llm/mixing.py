@@ -33,7 +33,7 @@ from .spark_util import scan_bytes
 from .text import U64, Words, column, mix, slices
 
 BLOCK, SHARDS = 128, 64
-RUN = 65_536  # slots of one row of the draw table, at most
+RUN = 65_536  # slots of one row of the draw table, and of one batch
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,8 @@ class Mix:
                 if c:
                     rows.append((k, self.names[j], self.blocks[j], j, at[j], c, slot))
                     at[j], slot = at[j] + c, slot + c
-        runs = [(shard, source, n, j, first + r, min(RUN, c - r), slot + r) for shard, source, n, j, first, c, slot in rows for r in range(0, c, RUN)] if len(rows) < 1 << 20 else rows
+        step = max(RUN, sum(r[5] for r in rows) // 500_000)  # so that the table keeps to some 500,000 rows more at any size
+        runs = [(shard, source, n, j, first + r, min(step, c - r), slot + r) for shard, source, n, j, first, c, slot in rows for r in range(0, c, step)]
         table = self.spark.createDataFrame(runs, "shard int, source string, n long, j long, first long, count long, slot long")
         seed = self.seed
 

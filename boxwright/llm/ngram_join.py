@@ -36,10 +36,13 @@ from .text import U64, Shingles, Words, coefficients, column, mix, slices
 
 def choose_bands(threshold: float = 0.8, recall: float = 0.9999, hashes: int = 96) -> tuple[int, int]:
     """(bands, rows): the most rows, so the fewest false candidates, whose bands reach the recall with at most ``hashes`` values."""
-    best = (math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1) if threshold < 1 else (1, 1)
+    if threshold >= 1:
+        return 1, 1
+    best = None
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= hashes:
+        miss = math.log1p(-(threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / miss) if miss < 0 else hashes + 1
+        if best is None or bands * rows <= hashes:
             best = (bands, rows)
     return best
 

@@ -149,7 +149,7 @@ def _answers(table: pa.Table, stage: int) -> dict[int, bytes]:
 
 def substring_dedup(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK) -> DataFrame:
     """``docs`` with the repeated words of ``text`` gone, and with n_words and n_removed (long)."""
-    n = max(1, -(-scan_bytes(docs) // chunk_bytes))
+    n = min(max(1, -(-scan_bytes(docs) // chunk_bytes)), 1 << 31)  # buckets are taken from 32 bits
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     deal = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     chunks = docs.select(*names, F.pmod(deal, F.lit(n)).alias("__chunk"))
