@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.knn import ranked_globally
@@ -188,3 +188,35 @@ def format_doubles(data: DataFrame, names: Sequence[str], form: str = "%.15e") -
 
 def parse_doubles(data: DataFrame, names: Sequence[str]) -> DataFrame:
     return data.withColumns({n: F.trim(F.col(n)).cast("double") for n in names})
+
+
+def vtk_lines(data: DataFrame, dims: int, title: str = "boxes") -> DataFrame:
+    """(ord, value): the boxes as a legacy VTK unstructured grid of pixels (2-D) or voxels (3-D), numbered by rid."""
+    if dims not in (2, 3):
+        raise ValueError("VTK output takes two or three dimensions")
+    corners, kind = 1 << dims, 8 if dims == 2 else 11
+    rows = ranked_globally(data, ["rid"], "_n")
+    n = rows.count()
+    spark = data.sparkSession
+    place = lambda part, a, b: F.struct(F.lit(part).alias("part"), a.alias("a"), b.alias("b")).alias("ord")
+    zero = F.lit(0).cast("long")
+
+    def heading(part: int, lines: list[str]) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(lines)), "i int, value string").select(place(part, F.col("i").cast("long"), zero), "value")
+
+    def text(c: int) -> Column:
+        at = [F.format_string("%.15e", F.col(f"x{d}_h" if c >> d & 1 else f"x{d}_l")) for d in range(dims)]
+        return F.concat_ws(" ", *at, *[F.lit("0")] * (3 - dims))
+
+    points = rows.select("_n", F.posexplode(F.array(*[text(c) for c in range(corners)])).alias("c", "value")).select(place(1, F.col("_n"), F.col("c").cast("long")), "value")
+    cells = rows.select(place(3, F.col("_n"), zero), F.concat_ws(" ", F.lit(str(corners)), *[((F.col("_n") - 1) * corners + c).cast("string") for c in range(corners)]).alias("value"))
+    types = rows.select(place(5, F.col("_n"), zero), F.lit(str(kind)).alias("value"))
+    out = heading(0, ["# vtk DataFile Version 3.0", title, "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n * corners} double"])
+    for part in (points, heading(2, [f"CELLS {n} {n * (corners + 1)}"]), cells, heading(4, [f"CELL_TYPES {n}"]), types):
+        out = out.unionByName(part)
+    return out
+
+
+def write_vtk(data: DataFrame, path: str, dims: int) -> None:
+    """Part files that in the order of their names are one VTK file."""
+    vtk_lines(data, dims).repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
