@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_util import saved
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LAST = (1 << 63) - 1
@@ -50,9 +52,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> D
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with the repeated lines of ``text`` gone, and with n_lines and n_dropped (long)."""
+    repeated = saved(repeated_lines(docs, min_chars, min_docs))  # read back, the join below is of two plain shuffles, whose hot keys are split
     dropped = (
         _lines(docs, min_chars)
-        .join(repeated_lines(docs, min_chars, min_docs), ["_h", "_g"])
+        .join(repeated, ["_h", "_g"])
         .where("_d <> _first")
         .groupBy("_d", "_t")
         .agg(F.collect_set("_p").alias("_gone"))  # at most the lines of one text

@@ -49,11 +49,23 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under the shared folder of ``spark.checkpoint.dir`` and read again: cuts the lineage, survives lost executors."""
-    context = df.sparkSession.sparkContext
+    """``df`` written as Parquet under the shared folder of ``spark.checkpoint.dir`` and read again: cuts the lineage, survives lost executors.
+
+    The tables of an application stay, as lazy results may still read them, until ``drop_saved``."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Deletes what this application has saved; for when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_boxwright_folder", None)
     if not folder:
         folder = context._boxwright_folder = tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{folder.rstrip('/')}/boxwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/boxwright/{context.applicationId}"
