@@ -15,19 +15,22 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node that it is linked with.
 
-    Each round is a few aggregations and joins; its edges are written to the shared folder. The number
-    of rounds grows with the logarithm of the largest component. Edges only ever point to smaller nodes.
+    Edges point from the larger to the smaller node. A round moves each edge to its target's smallest
+    target (large star), then a node's other targets and itself to its smallest (small star). Its tables
+    are written to the shared folder; the smallest targets on their own, so that the join with them is a
+    plain one of two shuffles, in which adaptive execution splits the edges of a hub. The number of rounds
+    grows with the logarithm of the largest component.
     """
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v")
+        targets = saved(now.groupBy("u").agg(F.min("v").alias("_m")).withColumnRenamed("u", "_p"))
+        large = now.join(targets, F.col("v") == F.col("_p"), "left").select("u", F.coalesce("_m", "v").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("_m"))  # a node has as many targets as buckets at most
+        small = large.join(low, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         now = saved(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
         last, mark = mark, _mark(now)
         if last == mark:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    roots = now.select("v").distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
