@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Words, column, slices
+from .text import Words, column, release, slices
 
-CACHE = 250_000
+CACHE = 200_000
 INF = 1 << 62
 
 
@@ -337,6 +337,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out
                 own = b.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, bpe.encode(part)], [*b.schema.names, out])
         bpe.trim(0)
+        release()
 
     return base.mapInArrow(run, schema)
 
@@ -372,6 +373,7 @@ def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     back.append(hashlib.sha256(y.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.trim(0)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

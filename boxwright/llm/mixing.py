@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_util import scan_bytes
-from .text import U64, Words, column, mix, slices
+from .text import U64, Words, column, mix, release, slices
 
 BLOCK, SHARDS = 128, 64
 RUN = 65_536  # slots of one row of the draw table, and of one batch
@@ -43,6 +43,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         for b in batches:
             n = np.concatenate([Words(p).counts for _, p in slices(column(b))] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), b.column("_h")], ["doc_id", "source", "size", "_h"])
+        release()
 
     rows = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("_h"))
     return rows.mapInArrow(run, "doc_id long, source string, size long, _h long")
@@ -171,7 +172,8 @@ def _window(keys, order, rows: bool = False):
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents' rows after mixing: a row for each pass over the sources in which parts of a document
     were drawn, with ``text`` the drawn words of that pass in order, joined by one space. Other columns of
-    the document are kept, n_chars (if any) follows the text; what no slot drew is left out."""
+    the document are kept, n_chars (if any) follows the text; what no slot drew is left out. Rows that repeat a
+    doc_id and a text give one row a pass, with the words drawn of all of them."""
     plan = Mix(docs, **options)
     spans = plan.drawn().groupBy("doc_id", "_h", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"))
     names = list(docs.columns)
@@ -181,9 +183,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, passes = None, set()
         for b in batches:
-            texts, chars = [], []
-            spans = b.column("_spans").to_pylist()
+            texts, chars, first_of = [], [], []
+            for h, doc, epoch in zip(*(b.column(c).to_pylist() for c in ("__h", "__d", "__e"))):
+                if (h, doc) != key:  # the merge join brings the rows of a document together
+                    key, passes = (h, doc), set()
+                first_of.append(epoch not in passes)
+                passes.add(epoch)
+            b = b.filter(pa.array(first_of, pa.bool_()))
+            spans = b.column("__s").to_pylist()
             for first, part in slices(column(b)):
                 w = Words(part)
                 data = w.bytes.tobytes()
@@ -196,8 +205,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                     chars.append(len(texts[-1]))
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[n].cast(b.schema.field(n).type) if n in new else b.column(n) for n in names], names)
+        release()
 
-    return rows.select(*[f"t.{n}" for n in names], "_spans").mapInArrow(run, schema)
+    return rows.select(*[f"t.{n}" for n in names], F.col("s._h").alias("__h"), F.col("s._d").alias("__d"), F.col("s.epoch").alias("__e"), F.col("s._spans").alias("__s")).mapInArrow(run, schema)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .spark_util import groups, partitions, saved
-from .text import U64, Shingles, Words, coefficients, column, mix, slices
+from .text import U64, Shingles, Words, coefficients, column, mix, release, slices
 
 
 def choose_bands(threshold: float = 0.8, recall: float = 0.9999, hashes: int = 96) -> tuple[int, int]:
@@ -84,6 +84,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = 5) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
                 own = b.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("_t"), pa.array(node, pa.binary()), lists], ["doc_id", "_t", "node", "bands"])
+        release()
 
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_t")).mapInArrow(run, "doc_id long, _t long, node binary, bands array<long>")
@@ -150,6 +151,7 @@ def _verify(threshold: float, words: int):
                 [pa.array(nodes, pa.binary()), pa.array([nodes[r] for r in found], pa.binary()), pa.array(linked.astype(np.int64) @ members, pa.int64()), pa.array(linked.sum(1), pa.int64()), pa.array(t.column("parts").combine_chunks(), pa.int32())],
                 ["node", "root", "docs", "texts", "parts"],
             )
+        release()
 
     return run
 

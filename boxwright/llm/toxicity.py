@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, Words, column, mix, slices
+from .text import U64, Words, column, mix, release, slices
 
 LOG_FEATURES = 20
 #: Sets of identity terms; a term is swapped for the others of its set. A parameter: pass your own.
@@ -99,14 +99,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 8000, penalty: float = 1e-4, swap_penalty: float = 1.0, steps: int = 300, keep: int = 2048) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_negative: int = 5000, penalty: float = 1e-4, swap_penalty: float = 1.0, steps: int = 300, keep: int = 2048) -> Model:
     """A model from the labelled rows of ``docs``; labels: doc_id, toxic."""
     rows = _sample(docs, labels, max_positive, max_negative)
     size = 1 << LOG_FEATURES
     if not rows:
         return Model(np.zeros(size, np.float32), 0.0)
     y = np.array([r["toxic"] for r in rows], float)
-    sets = [np.frombuffer(bytes(r["features"]), "<i4") for r in rows]
+    sets = [np.frombuffer(r["features"], "<i4") for r in rows]
+    names = [np.frombuffer(r["named"], "<u8").tolist() for r in rows]
+    del rows
     pos, neg = np.zeros(size), np.zeros(size)
     for s, t in zip(sets, y):
         (pos if t else neg)[s] += 1
@@ -124,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negati
     row, col = np.repeat(np.arange(len(own)), [len(s) for s in own]), np.concatenate([*own, np.zeros(0, int)]).astype(int)
     terms = {_term_hash(t): (k, t) for k, s in enumerate(IDENTITY) for t in s}
     d_row, d_col, d_val, n_swaps = [], [], [], 0
-    for r, s in zip(rows, own):
+    for named, s in zip(names, own):
         have = set(s.tolist())
-        for h in np.frombuffer(bytes(r["named"]), "<u8").tolist():
+        for h in named:
             k, term = terms[h]
             before = {x for x in number[_term_features(term)].tolist() if x >= 0}
             for other in IDENTITY[k]:
@@ -167,6 +169,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for b in batches:
             s = np.concatenate([m.scores(p) for _, p in slices(column(b, text))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
+        release()
 
     return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
 
