@@ -245,6 +245,14 @@ def test_mixing(spark, docs, rows):
     assert sum(len(WORD.findall(r.text)) for r in texts) == sum(taken.values()) and all(r.n_chars == len(r.text) for r in texts)
 
 
+def test_mixing_repeated_rows(spark, docs, rows):
+    twice = docs.unionByName(docs.where("doc_id < 60"))
+    plan = mixing.Mix(twice, block=16, shards=5)
+    total = sum(r.n_words for r in plan.drawn().collect())
+    assert sum(len(WORD.findall(r.text)) for r in mixing.mixed(twice, block=16, shards=5).collect()) == total
+    assert total == pytest.approx(1.5 * sum(plan.totals.values()), rel=0.02)
+
+
 def test_targets():
     got = mixing.targets({"b": 100, "a": 100, None: 100})
     assert got == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
