@@ -181,5 +181,5 @@ def dead_shares(measures: DataFrame, clips: int) -> DataFrame:
     shares (group by level to roll them up)."""
     exact = F.coalesce("coverage", "covered")
     shapes = {f"{s}_dead": (F.col(s) - exact) / F.col(s) * 100 for s in ("circle", "hull", "rotated_box", "corners4", "corners5")}
-    boxes = {f"cbb{i + 1}": (F.get(F.col("clipped"), F.lit(i)) - F.col("covered")) / F.col("volume") * 100 for i in range(clips)}
+    boxes = {f"clipped{i + 1}": (F.get(F.col("clipped"), F.lit(i)) - F.col("covered")) / F.col("volume") * 100 for i in range(clips)}
     return measures.where("volume > 0").withColumns({"mbb_dead": (F.col("volume") - F.col("covered")) / F.col("volume") * 100, **shapes, **boxes})

@@ -386,7 +386,7 @@ def pixel_coverage(s, d):
 @query()
 def dead_space_shares(s, d):
     shares = deadspace.dead_shares(deadspace.dead_space(nodes(s, d)), 4)
-    names = ("mbb_dead", "circle_dead", "hull_dead", "rotated_box_dead", "corners4_dead", "corners5_dead", "cbb1", "cbb2", "cbb3", "cbb4")
+    names = ("mbb_dead", "circle_dead", "hull_dead", "rotated_box_dead", "corners4_dead", "corners5_dead", "clipped1", "clipped2", "clipped3", "clipped4")
     return shares.agg(F.count("*").alias("n_nodes"), *[F.round(F.avg(c), 6).alias(c) for c in names])
 
 

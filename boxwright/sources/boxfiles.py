@@ -178,7 +178,7 @@ def write_levels(nodes: DataFrame, path: str) -> None:
 def write_measures(measures: DataFrame, path: str) -> None:
     """Space-separated node measures; lists become one column per item."""
     most = measures.select(F.max(F.size("clipped"))).first()[0] or 0
-    flat = measures.select(*[c for c in measures.columns if c != "clipped"], *[F.get(F.col("clipped"), F.lit(i)).alias(f"cbb{i + 1}_volume") for i in range(most)])
+    flat = measures.select(*[c for c in measures.columns if c != "clipped"], *[F.get(F.col("clipped"), F.lit(i)).alias(f"clipped{i + 1}_volume") for i in range(most)])
     flat.write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
 
 

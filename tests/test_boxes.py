@@ -60,7 +60,7 @@ def test_dead_space_row(spark):
     data = spark.createDataFrame(entries, "node_id long, x0_l double, x0_h double, x1_l double, x1_h double")
     root = clip.entry_mbbs(data).select(F.lit(0).cast("long").alias("node_id"), *Box().columns())
     shares = deadspace.dead_shares(deadspace.dead_space(data.unionByName(root)), 4)
-    names = ["mbb_dead", "circle_dead", "hull_dead", "rotated_box_dead", "corners4_dead", "corners5_dead", "cbb1", "cbb2", "cbb3", "cbb4"]
+    names = ["mbb_dead", "circle_dead", "hull_dead", "rotated_box_dead", "corners4_dead", "corners5_dead", "clipped1", "clipped2", "clipped3", "clipped4"]
     row = shares.agg(F.sum("n_clips").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
     assert row["n"] == 7
     for name, want in zip(names, [44.810, 65.002, 32.261, 44.264, 37.674, 34.638, 22.8767, 14.8955, 12.7283, 10.8707]):
