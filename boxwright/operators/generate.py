@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, center
-from .knn import ranked_globally
+from .knn import query_boxes, ranked_globally
 
 
 def uniform(seed: int, *what) -> Column:
@@ -127,3 +127,17 @@ def project(data: DataFrame, keep: Sequence[int], dims: Sequence[int], key: Sequ
 def shuffled(data: DataFrame, seed: int = 1, key: str = "rid") -> DataFrame:
     """Records in a pseudorandom order that the seed fixes."""
     return data.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+
+
+def workload(data: DataFrame, hits: int, dims: Sequence[int] = (0, 1), each: int = 10, seed: int = 1) -> DataFrame:
+    """(qid, box): query boxes of about ``hits`` hits at the centres of every ``each * sqrt(hits)``-th record.
+
+    One hit: the records themselves, shrunk to their centres. More: boxes that touch between half and one
+    and a half times so many of the nearest records. Larger boxes come in fewer numbers, so that all
+    workloads find a like number of records per record of data."""
+    chosen = every_kth(data, max(1, round(each * hits**0.5)))
+    if hits == 1:
+        return scale_area(chosen, 0.0, dims).select(F.col("rid").alias("qid"), *Box(dims).columns())
+    points = chosen.select(F.col("rid").alias("qid"), *[center(Box(dims), d).alias(f"p{d}") for d in dims])
+    want = F.floor(F.lit(0.5 * hits) + F.pmod(F.xxhash64(F.lit(seed), "qid"), F.lit(hits + 1))).cast("long")
+    return query_boxes(data, points, want, int(1.5 * hits) + 1, dims)

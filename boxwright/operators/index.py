@@ -23,6 +23,12 @@ LEAF_CAP = 72
 BITS = 20
 
 
+def leaf_capacity(page_bytes: int, dims: int, info_bytes: int = 4) -> int:
+    """Records of a page: 16 bytes a dimension and the payload, in units of 8; a count and a mid point a page."""
+    entry = 16 * dims + -(-info_bytes // 8) * 8
+    return max(2, (page_bytes - 8 - 8 * dims) // entry)
+
+
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the D-dimensional Hilbert curve of integer cells (n x D, each below 2 ** bits), by the transpose method."""
     x = cells.T.astype(np.uint64).copy()
@@ -121,6 +127,21 @@ class Index:
         spark.catalog.refreshByPath(path)
         return cls(spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/nodes"), dims, key)
 
+    def save(self, path: str) -> "Index":
+        """Writes an index that was held in memory, and opens it from there."""
+        self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        return Index.open(self.leaves.sparkSession, path, self.dims, self.key)
+
+    def close(self) -> None:
+        """Gives up what is held in memory."""
+        self.nodes.unpersist()
+        self.leaves.unpersist()
+
+    def reorganized(self, **options) -> "Index":
+        """Built anew from its records: full pages, fresh clip points (after inserts or deletes)."""
+        return Index.build(self.leaves.drop("node_id"), self.dims, key=self.key, **options)
+
     @staticmethod
     def drop(spark, path: str) -> bool:
         """Removes a written index; False if there was none."""

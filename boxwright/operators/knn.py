@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.boxes import Box, center, distance
 
 
+BROADCAST_POINTS, SALTS = 10_000, 64
+
+
 def browse(data: DataFrame, point: Sequence[float], dims: Sequence[int] = (0, 1), kind: str = "min", metric: str = "euclid", farthest: bool = False, start: float = 0.0, end: float | None = None, where: Column | None = None, k: int | None = None, key: str = "rid") -> DataFrame:
     """Records with ``dist`` in increasing (or with ``farthest`` decreasing) order.
 
@@ -36,12 +39,21 @@ def _ranked(pairs: DataFrame, k: int, farthest: bool, qid: str, rid: str) -> Dat
 def knn_scan(data: DataFrame, points: DataFrame, k: int, dims: Sequence[int] = (0, 1), kind: str = "min", metric: str = "euclid", farthest: bool = False, qid: str = "qid", rid: str = "rid") -> DataFrame:
     """(qid, rid, dist, rank) of the k nearest or farthest records of each point, every pair measured.
 
-    For query sets whose size is a parameter (they are sent to all tasks), over any number of records; the
-    window keeps k rows per query and task before the shuffle. points: qid and p0, p1, ….
+    For points of which none can be ruled out beforehand (farthest neighbours, other kinds of distance). Up to
+    ``BROADCAST_POINTS`` points, counted first, are sent to all tasks; more are dealt into blocks of that
+    size that meet the records by an equi-join on the block. The window keeps k rows per query and task
+    before its shuffle. points: qid and p0, p1, ….
     """
     d = distance(Box(dims), [F.col(f"p{i}") for i in dims], kind, metric)
-    pairs = data.select(rid, *Box(dims).columns()).join(points.select(qid, *[f"p{i}" for i in dims]).hint("broadcast"), F.lit(True)).select(qid, rid, d.alias("dist"))
-    return _ranked(pairs, k, farthest, qid, rid)
+    left, right = data.select(rid, *Box(dims).columns()), points.select(qid, *[f"p{i}" for i in dims])
+    if right.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS:
+        pairs = left.join(right.hint("broadcast"), F.lit(True))
+    else:
+        blocks = -(-right.count() // BROADCAST_POINTS)
+        dealt = right.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int"))
+        salt = F.pmod(F.xxhash64(rid), F.lit(SALTS)).cast("int")
+        pairs = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", salt).join(dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_b", "_s"])
+    return _ranked(pairs.select(qid, rid, d.alias("dist")), k, farthest, qid, rid)
 
 
 def knn_join(data: DataFrame, points: DataFrame, k: int, dims: Sequence[int] = (0, 1), metric: str = "euclid", qid: str = "qid", rid: str = "rid") -> DataFrame:
@@ -161,7 +173,8 @@ def nearest_chain(data: DataFrame, dims: Sequence[int] = (0, 1), starts: int | N
 def query_boxes(data: DataFrame, points: DataFrame, counts: Column, most: int, dims: Sequence[int] = (0, 1), qid: str = "qid") -> DataFrame:
     """Query boxes made to hit about ``counts`` (a column over the points) records: for each point the least
     box that touches the near sides of so many maximum-metric nearest records."""
-    near = knn_scan(data, points, most, dims, "min", "maximum", False, qid).join(points.withColumn("_want", counts), qid).where(F.col("rank") <= F.col("_want"))
+    few = points.limit(1001).count() <= 1000
+    near = (knn_scan(data, points, most, dims, "min", "maximum", False, qid) if few else knn_join(data, points, most, dims, "maximum", qid)).join(points.withColumn("_want", counts), qid).where(F.col("rank") <= F.col("_want"))
     full = near.join(data.select("rid", *Box(dims).columns()), "rid")
     aggs = []
     for d in dims:

@@ -27,19 +27,35 @@ def mbb_report(data: DataFrame, dims: Sequence[int] = (0, 1)) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
+def least_squares(data: DataFrame, dims: Sequence[int] = (0, 1)) -> DataFrame:
+    """One row: the edge of the least square (cube) around all records that starts at their low corner, and of that around their centre; volume of the box."""
+    edges = F.array(*[F.max(f"x{d}_h") - F.min(f"x{d}_l") for d in dims])
+    return data.agg(F.array_max(edges).alias("edge"), F.aggregate(edges, F.lit(1.0), lambda a, x: a * x).alias("volume"), *[((F.min(f"x{d}_l") + F.max(f"x{d}_h")) / 2 - F.array_max(edges) / 2).alias(f"centered{d}_l") for d in dims])
+
+
 def box_report(data: DataFrame, dims: Sequence[int] = (0, 1), key: str = "rid") -> DataFrame:
-    """One row: number of boxes, of intersecting ordered pairs of different boxes, points, squares and
-    boxes of zero volume, smallest volume above zero, mean volume, and mean share of volume overlapped."""
+    """One row: number of boxes, of intersecting ordered pairs of different boxes, points, squares, boxes of
+    zero volume and by number of zero dimensions, smallest volume above zero; means of volume, of a box's
+    mean extent, of its extents' deviation and of its least extent in per cent (of mean and largest), and of
+    the share of volume overlapped."""
     b, last = Box(dims), dims[-1]
     zero = sum((F.when(extent(b, d) == 0, 1).otherwise(0) for d in dims), F.lit(0))
     square = F.lit(True)
     for d in dims:
         square = square & (extent(b, d) == extent(b, last))
     v = volume(b)
+    extents = F.array(*[extent(b, d) for d in dims])
+    mean = F.aggregate(extents, F.lit(0.0), lambda a, x: a + x) / len(dims)
+    spread = F.sqrt(F.aggregate(extents, F.lit(0.0), lambda a, x: a + x * x) / len(dims) - mean * mean)
+    widest = F.array_max(extents)
     one = data.agg(
+        *[F.count_if(zero == k).alias(f"n_zero{k}") for k in range(1, len(dims) + 1)],
+        F.avg(mean).alias("avg_extent"),
+        F.avg(F.when(mean > 0, 100 * spread / mean)).alias("avg_nsd"),
+        F.avg(F.when(widest > 0, 100 * F.array_min(extents) / widest)).alias("avg_min_max"),
         F.count("*").alias("n_boxes"),
         F.count_if(zero == len(dims)).alias("n_points"),
-        F.count_if((zero > 0)).alias("n_flat"),
+        F.count_if(zero > 0).alias("n_flat"),
         F.count_if(square & (zero == 0)).alias("n_squares"),
         F.min(F.when(v > 0, v)).alias("min_volume"),
         F.avg(v).alias("avg_volume"),
@@ -51,13 +67,15 @@ def box_report(data: DataFrame, dims: Sequence[int] = (0, 1), key: str = "rid")
     return one.join(met.hint("broadcast"), F.lit(True)).withColumn("avg_overlap", F.col("_o") / F.col("n_boxes")).drop("_o")  # one row each
 
 
-def duplicate_values(points: DataFrame, dims: Sequence[int] = (0, 1), top: int = 10) -> DataFrame:
-    """(dim, v, n, rank): coordinate values that occur more than once, by frequency and value descending. Points only."""
+def duplicate_values(points: DataFrame, dims: Sequence[int] = (0, 1), top: int | None = 10) -> DataFrame:
+    """(dim, v, n, rank): coordinate values that occur more than once, by frequency and value descending (top: so many a dimension, None: all). Points only."""
     bad = points.where(~_degenerate(dims)).limit(1)
     values = points.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(f"x{d}_l").alias("v")) for d in dims])).alias("s")).select("s.dim", "s.v")
     counts = values.groupBy("dim", "v").agg(F.count("*").alias("n")).where("n > 1")
     if bad.count():
         raise ValueError("duplicate_values takes points only (l = h in every dimension)")
+    if top is None:
+        return counts
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), F.desc("v")))).where(F.col("rank") <= top)
 
 

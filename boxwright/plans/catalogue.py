@@ -201,16 +201,22 @@ def mbb_report(s, d):
     return stats.mbb_report(li(s, d), (0, 1, 2))
 
 
+@query(f"WITH {LI}, m AS (SELECT min(x0_l) AS a0, max(x0_h) AS b0, min(x1_l) AS a1, max(x1_h) AS b1 FROM li) SELECT greatest(b0 - a0, b1 - a1) AS edge, (b0 - a0) * (b1 - a1) AS volume, (a0 + b0) / 2 - greatest(b0 - a0, b1 - a1) / 2 AS centered0_l, (a1 + b1) / 2 - greatest(b0 - a0, b1 - a1) / 2 AS centered1_l FROM m")
+def least_squares(s, d):
+    return stats.least_squares(li(s, d))
+
+
 _VOL = "(x0_h - x0_l) * (x1_h - x1_l)"
 _OVER = "greatest(least(a.x0_h, b.x0_h) - greatest(a.x0_l, b.x0_l), 0) * greatest(least(a.x1_h, b.x1_h) - greatest(a.x1_l, b.x1_l), 0)"
 
 
 @query(f"""WITH {CUST}, one AS (SELECT count(*) AS n_boxes, count_if(x0_h = x0_l AND x1_h = x1_l)::BIGINT AS n_points, count_if(x0_h = x0_l OR x1_h = x1_l)::BIGINT AS n_flat,
-  count_if(x0_h - x0_l = x1_h - x1_l AND x0_h > x0_l)::BIGINT AS n_squares, min(CASE WHEN {_VOL} > 0 THEN {_VOL} END) AS min_volume, avg({_VOL}) AS avg_volume FROM cust),
+  count_if(x0_h - x0_l = x1_h - x1_l AND x0_h > x0_l)::BIGINT AS n_squares, count_if((x0_h = x0_l) <> (x1_h = x1_l))::BIGINT AS n_zero1, count_if(x0_h = x0_l AND x1_h = x1_l)::BIGINT AS n_zero2,
+  avg(e) AS avg_extent, avg(CASE WHEN e > 0 THEN 100 * abs(e0 - e1) / 2 / e END) AS avg_nsd, avg(CASE WHEN e > 0 THEN 100 * least(e0, e1) / greatest(e0, e1) END) AS avg_min_max, min(CASE WHEN {_VOL} > 0 THEN {_VOL} END) AS min_volume, avg({_VOL}) AS avg_volume FROM (SELECT *, x0_h - x0_l AS e0, x1_h - x1_l AS e1, (x0_h - x0_l + x1_h - x1_l) / 2 AS e FROM cust)),
   met AS (SELECT count(*) AS n_pairs, sum(CASE WHEN (a.x0_h - a.x0_l) * (a.x1_h - a.x1_l) > 0 THEN {_OVER} / ((a.x0_h - a.x0_l) * (a.x1_h - a.x1_l)) END) AS o FROM cust a JOIN cust b ON {P1} AND a.rid <> b.rid)
-  SELECT n_boxes, n_points, n_flat, n_squares, min_volume, round(avg_volume, 6) AS avg_volume, n_pairs, round(o / n_boxes, 6) AS avg_overlap FROM one, met""")
+  SELECT n_boxes, n_points, n_flat, n_squares, n_zero1, n_zero2, round(avg_extent, 6) AS avg_extent, round(avg_nsd, 6) AS avg_nsd, round(avg_min_max, 6) AS avg_min_max, min_volume, round(avg_volume, 6) AS avg_volume, n_pairs, round(o / n_boxes, 6) AS avg_overlap FROM one, met""")
 def box_report(s, d):
-    return stats.box_report(customers(s, d)).withColumns({c: F.round(c, 6) for c in ("avg_volume", "avg_overlap")})
+    return stats.box_report(customers(s, d)).withColumns({c: F.round(c, 6) for c in ("avg_volume", "avg_overlap", "avg_extent", "avg_nsd", "avg_min_max")})
 
 
 @query(f"""WITH {EV}, v AS (SELECT 0 AS dim, x0_l AS v FROM ev UNION ALL SELECT 1, x1_l FROM ev), c AS (SELECT dim, v, count(*) AS n FROM v GROUP BY dim, v HAVING count(*) > 1)
@@ -297,6 +303,17 @@ def query_boxes(s, d):
     return knn.query_boxes(events(s, d), suppliers(s, d), 5 + F.col("qid") % 11, 15)
 
 
+@query(f"WITH {EV}, n AS (SELECT *, row_number() OVER (ORDER BY rid) AS r FROM ev) SELECT rid AS qid, x0_l, x0_h, x1_l, x1_h FROM n WHERE r % 10 = 0")
+def workload_points(s, d):
+    return generate.workload(events(s, d), 1)
+
+
+@query()
+def workload_hits(s, d):
+    rows = events(s, d)
+    return select.batch_counts(rows, generate.workload(rows, 10))
+
+
 @query()
 def nearest_chain(s, d):
     return knn.nearest_chain(events(s, d), group="user_id")

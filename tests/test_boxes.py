@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boxwright.functions.boxes import Box, clipped_away, intersects
 from boxwright.operators import clip, deadspace, generate, knn, select, stats, updates
-from boxwright.operators.index import Index, hilbert
+from boxwright.operators.index import Index, hilbert, leaf_capacity
 from boxwright.operators.joins import grid_join
 
 T1 = [((1.5, 4), (3, 4)), ((8, 10), (1, 3)), ((3, 5.5), (1, 2)), ((6, 7), (0, 4)), ((4, 7), (6.5, 8)), ((2, 3), (6.5, 9)), ((0, 1), (5, 6))]
@@ -75,6 +75,16 @@ def test_nearest_of_low_corners(spark):
         assert [(r.qid, r.rid, r.dist) for r in got] == want
 
 
+def test_scan_in_blocks(spark, monkeypatch):
+    data = frame(spark, random_boxes(21, 90))
+    points = spark.createDataFrame([(i, float(i), float(3 * i % 17)) for i in range(25)], "qid long, p0 double, p1 double")
+    for farthest in (False, True):
+        want = knn.knn_scan(data, points, 4, kind="max", farthest=farthest).orderBy("qid", "rank").collect()
+        monkeypatch.setattr(knn, "BROADCAST_POINTS", 7)
+        assert knn.knn_scan(data, points, 4, kind="max", farthest=farthest).orderBy("qid", "rank").collect() == want
+        monkeypatch.undo()
+
+
 def test_toy_statistics(spark):
     data = frame(spark, T2)
     assert tuple(stats.mbb(data).first()) == (0.0, 8.5, 0.0, 8.5)
@@ -126,6 +136,11 @@ def test_index_paths_agree(spark, tmp_path):
     assert updates.inconsistent(index.nodes, index.leaves).count() == 0
     on, off = index.access_stats(queries).first(), index.access_stats(queries, clipped=False).first()
     assert on.useful_visits == off.useful_visits and on.leaf_visits <= off.leaf_visits
+    held = Index.build(data, leaf_cap=9)
+    again = held.save(str(tmp_path / "saved")).reorganized(leaf_cap=20)
+    held.close()
+    assert {r.qid: r.n for r in again.region_counts(queries).collect()} == want and again.describe().first().n_records == len(a)
+    assert leaf_capacity(4096, 3) == 72
     other = Index.build(frame(spark, q), leaf_cap=5)
     for clipped in (True, False):
         assert {(r.a_rid, r.b_rid) for r in index.join(other, clipped).collect()} == {(i, j) for i, x in enumerate(a, 1) for j, y in enumerate(q, 1) if meets(x, y)}
