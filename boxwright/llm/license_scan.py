@@ -11,7 +11,7 @@ shingles that the window has must reach ``threshold``.
 A window that shares no shingle with any template cannot have an equal MinHash value, so windows without
 a template shingle are left out before the MinHash values are computed: the result is the same, only most
 windows need no values. The templates (a parameter, some hundreds of shingles) are held in the plan and in
-one broadcast table whose rows are templates x bands.
+one local table whose rows are templates x bands; Catalyst knows its size and broadcasts it while small.
 
 One shuffle, of a row per document and collision.
 
@@ -112,7 +112,7 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     each = rows.select("doc_id", "_t", F.explode_outer(F.concat(*parts)).alias("x")).select("doc_id", "_t", F.col("x.k").alias("k"), F.col("x.b").alias("b"), F.col("x.w").alias("w"))
     values = F.transform(F.sequence(F.lit(0), F.coalesce("b", F.lit(1)) - 1), lambda i: F.array_min(F.transform(F.col("w"), lambda x: F.xxhash64(x, i))))
     banded = each.select("doc_id", "_t", "k", "w", F.posexplode_outer(values).alias("i", "v"))
-    met = banded.join(F.broadcast(table), (F.col("k") == F.col("_k")) & (F.col("i") == F.col("_i")) & (F.col("v") == F.col("_v")), "left")
+    met = banded.join(table, (F.col("k") == F.col("_k")) & (F.col("i") == F.col("_i")) & (F.col("v") == F.col("_v")), "left")
     share = F.size(F.array_intersect("w", "_sh")) / F.size("_sh")
     return met.select("doc_id", "_t", F.when(share >= threshold, F.col("license")).alias("license"), F.when(share >= threshold, share).alias("containment"))
 

@@ -217,5 +217,5 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     size, target = F.lit(None).cast("long"), F.lit(None).cast("double")
     known = [(s, n, plan.targets[s]) for s, n in plan.totals.items()]
     per = spark.createDataFrame(known, "_s string, source_size long, target double") if known else spark.createDataFrame([], "_s string, source_size long, target double")
-    joined = rows.join(F.broadcast(per), F.col("d.source").eqNullSafe(F.col("_s")))  # a row per source
+    joined = rows.join(per, F.col("d.source").eqNullSafe(F.col("_s")))  # a row per source, of known size: Catalyst sends it to all tasks if it is small
     return joined.select("d.doc_id", "d.size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
