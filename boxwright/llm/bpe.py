@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from .text import Words, column, release, slices
 
-CACHE = 200_000
+CACHE = 350_000
 INF = 1 << 62
 
 
@@ -110,22 +110,28 @@ class Merges:
     def many(self, rows: list[list[int]]) -> list[list[int]]:
         """Each row of at most WIDE symbols after all its merges."""
         out: list[list[int]] = [[]] * len(rows)
-        lengths = np.array([len(r) for r in rows])
+        flat = np.array([x for r in rows for x in r], np.int32)
+        for part, ids, ends in self.merged(flat, np.array([len(r) for r in rows], np.int64)):
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = ids[a:b]
+        return out
+
+    def merged(self, flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """The same of rows given end to end: (row numbers, their ids end to end, where each ends) by and by."""
+        starts = np.cumsum(lengths) - lengths
         low = 0
         for size in (1, 2, 4, 8, 16, 32, 64):  # leaves of a tree; a row of n symbols has n - 1 pairs
             chosen = np.flatnonzero((lengths - 1 > low) & (lengths - 1 <= size)) if size > 1 else np.flatnonzero(lengths <= 2)
             low = size
             for first in range(0, len(chosen), 20_000):
                 part = chosen[first : first + 20_000]
-                for i, merged in zip(part.tolist(), self._trees([rows[i] for i in part], size)):
-                    out[i] = merged
-        return out
+                yield part.tolist(), *self._trees(flat, starts[part], lengths[part], size)
 
-    def _trees(self, rows: list[list[int]], size: int) -> list[list[int]]:
+    def _trees(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[list[int], list[int]]:
         n = size + 1
-        sym = np.full((len(rows), n + 1), -1, np.int32)
-        lengths = np.array([len(r) for r in rows])
-        sym[:, :n][np.arange(n) < lengths[:, None]] = np.concatenate([np.asarray(r, np.int32) for r in rows])
+        rows = range(len(starts))
+        at = np.arange(n + 1)
+        sym = np.where(at < lengths[:, None], flat[np.minimum(starts[:, None] + at, len(flat) - 1)], -1).astype(np.int32)
         nxt = np.tile(np.minimum(np.arange(1, n + 2), n).astype(np.int32), (len(rows), 1))
         prv = np.tile(np.arange(-1, n, dtype=np.int32), (len(rows), 1))
         tree = np.full((len(rows), 2 * size), INF, np.int64)
@@ -154,10 +160,15 @@ class Merges:
                 while len(node) and node[0]:  # all are on one level
                     tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
                     node >>= 1
-        flat, keep = sym[:, :n], sym[:, :n] >= 0
-        ends = np.cumsum(keep.sum(1)).tolist()
-        ids = flat[keep].tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        keep = sym[:, :n] >= 0
+        return sym[:, :n][keep].tolist(), np.cumsum(keep.sum(1)).tolist()
+
+
+def _byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself, or for those without one the next from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
 _MARK = np.zeros(256, bool)
@@ -215,6 +226,11 @@ class Bpe:
         added = spec.get("added_tokens") or []
         self.added = {x["content"]: x["id"] for x in added}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.texts = [str(i) for i in range(max(self.names) + 1)]
+        self.named = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        alphabet = _byte_alphabet()
+        self.byte = np.array([self.vocab[c] for c in alphabet], np.int32)
+        self.last = np.array([self.vocab[c + self.end] for c in alphabet], np.int32)
         self.library = Tokenizer.from_file(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -239,7 +255,12 @@ class Bpe:
         return ids
 
     def _made(self, ids: list[int]) -> tuple[str, int, str]:
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+        return " ".join([self.texts[i] for i in ids]), len(ids), " ".join([self.named[i] for i in ids])
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Letters whose normal form is their lower case, letter by letter: one pre-token, its bytes the symbols."""
+        return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) and len(text) <= Merges.WIDE // 2
 
     def trim(self, most: int | None = None) -> None:
         """Empties caches that are full (or over ``most``); to be called before missing words are listed."""
@@ -249,7 +270,19 @@ class Bpe:
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
         """The encodings of words that aren't in the cache. Those of ordinary length stay in it."""
-        cuts = {w: self.cuts(w) for w in words}
+        words = list(words)
+        plain = [w for w in words if self._plain(w)]
+        if plain:
+            coded = [w.lower().encode() for w in plain]
+            lengths = np.array([len(x) for x in coded], np.int64)
+            flat = np.frombuffer(b"".join(coded), np.uint8)
+            ends = np.cumsum(lengths) - 1
+            symbols = self.byte[flat]
+            symbols[ends] = self.last[flat[ends]]
+            for part, ids, stops in self.merges.merged(symbols, lengths):
+                for i, a, b in zip(part, [0, *stops], stops):
+                    self.words[plain[i]] = self._made(ids[a:b])
+        cuts = {w: self.cuts(w) for w in words if w not in self.words}
         new = list({p for found in cuts.values() for p in found if p not in self.tokens and p not in self.added})
         short = [p for p in new if len(p) <= Merges.WIDE]
         got = {p: self._made([self.added[p]]) for p in self.added}
