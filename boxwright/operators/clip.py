@@ -32,6 +32,11 @@ def signed(low: np.ndarray, high: np.ndarray, corner: int) -> np.ndarray:
 def skyline(points: np.ndarray) -> np.ndarray:
     """The distinct points that no other one reaches in every dimension."""
     p = np.unique(points, axis=0)
+    if p.shape[1] == 2:  # sorted by the first coordinate: those above all later ones in the second
+        later = np.maximum.accumulate(p[::-1, 1])[::-1]
+        keep = np.ones(len(p), bool)
+        keep[:-1] = p[:-1, 1] > later[1:]
+        return p[keep]
     order = np.argsort(-p.sum(1), kind="stable")
     kept: list[np.ndarray] = []
     for x in p[order]:
@@ -41,6 +46,10 @@ def skyline(points: np.ndarray) -> np.ndarray:
 
 
 def stairline(sky: np.ndarray, top: np.ndarray, node_volume: float, threshold: float) -> np.ndarray:
+    if sky.shape[1] == 2:  # any two that aren't neighbours have a third point between them that reaches their least
+        sky = sky[np.argsort(sky[:, 0])]
+        at = np.minimum(sky[:-1], sky[1:])
+        return at[np.prod(top - at, axis=1) > threshold * node_volume]
     found = []
     for i in range(len(sky)):
         for j in range(i + 1, len(sky)):
