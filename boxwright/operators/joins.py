@@ -11,9 +11,10 @@ skewed cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, every, intersects
@@ -25,33 +26,43 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
 
 
-def _level(box: Box, dims: Sequence[int], cell: Sequence[float]) -> Column:
-    ratio = [(box.high(d) - box.low(d)) / F.lit(float(c)) for d, c in zip(dims, cell)]
-    widest = F.greatest(*ratio) if len(ratio) > 1 else ratio[0]
-    return F.when(widest > 1, F.ceil(F.log2(widest))).otherwise(F.lit(0)).cast("int")
+def _exponent(x: Column) -> Column:
+    """The least power of two that holds an extent, as its exponent; points get that of the least double."""
+    return F.when(x > 0, F.ceil(F.log2(x))).otherwise(-1074).cast("int")
 
 
-def _size(cell: float) -> Column:
-    return F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_lv"))
+def _level(box: Box, dims: Sequence[int], powers: Sequence[int]) -> Column:
+    over = [_exponent(box.high(d) - box.low(d)) - k for d, k in zip(dims, powers)]
+    return F.greatest(*over, F.lit(0))
 
 
-def _entered(df: DataFrame, prefix: str, dims: Sequence[int], cell: Sequence[float], levels: Sequence[int]) -> DataFrame:
+def _size(power: int) -> Column:
+    return F.pow(F.lit(2.0), F.col("_lv") + power)
+
+
+def _entered(df: DataFrame, prefix: str, dims: Sequence[int], powers: Sequence[int], levels: Sequence[int]) -> DataFrame:
     box = Box(dims, prefix)
-    out = df.withColumn(f"{prefix}_own", _level(box, dims, cell))
+    out = df.withColumn(f"{prefix}_own", _level(box, dims, powers))
     out = out.withColumn("_lv", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col(f"{prefix}_own"))))
-    for d, c in zip(dims, cell):
-        size = _size(c)
+    for d, k in zip(dims, powers):
+        size = _size(k)
         out = out.withColumn(f"_c{d}", F.explode(F.sequence(F.floor(box.low(d) / size), F.floor(box.high(d) / size))))
     return out
 
 
-def typical_extents(a: DataFrame, b: DataFrame, dims: Sequence[int]) -> list[float]:
-    """A cell for each dimension: the larger mean extent of the two sides, or if all are points a 64th of the span."""
-    rows = [x.agg(*[f for d in dims for f in (F.avg(F.col(f"x{d}_h") - F.col(f"x{d}_l")).alias(f"m{d}"), F.min(f"x{d}_l").alias(f"a{d}"), F.max(f"x{d}_h").alias(f"b{d}"))]).first() for x in (a, b)]
+def profile(df: DataFrame, dims: Sequence[int]) -> Row:
+    """One row of one pass: mean extent and span of each dimension, and which exponents of extents occur together."""
+    exponents = F.struct(*[_exponent(F.col(f"x{d}_h") - F.col(f"x{d}_l")).alias(f"e{d}") for d in dims])
+    parts = [f for d in dims for f in (F.avg(F.col(f"x{d}_h") - F.col(f"x{d}_l")).alias(f"m{d}"), F.min(f"x{d}_l").alias(f"a{d}"), F.max(f"x{d}_h").alias(f"b{d}"))]
+    return df.agg(*parts, F.collect_set(exponents).alias("exponents")).first()  # a few hundred pairs of exponents at most
+
+
+def typical_extents(profiles: Sequence[Row], dims: Sequence[int]) -> list[float]:
+    """A cell for each dimension: the larger mean extent of the sides, or if all are points a 64th of the span."""
     out = []
     for d in dims:
-        mean = max((r[f"m{d}"] or 0.0) for r in rows)
-        span = max(((r[f"b{d}"] or 0.0) - (r[f"a{d}"] or 0.0)) for r in rows)
+        mean = max((r[f"m{d}"] or 0.0) for r in profiles)
+        span = max(((r[f"b{d}"] or 0.0) - (r[f"a{d}"] or 0.0)) for r in profiles)
         out.append(mean if mean > 0 else (span / 64 if span > 0 else 1.0))
     return out
 
@@ -59,20 +70,19 @@ def typical_extents(a: DataFrame, b: DataFrame, dims: Sequence[int]) -> list[flo
 def grid_join(a: DataFrame, b: DataFrame, dims: Sequence[int] = (0, 1), grid: Sequence[int] | None = None, cell: Sequence[float] | None = None, extra: Test | None = None, test: Test = intersects) -> DataFrame:
     """Pairs (columns ``a_…`` and ``b_…``) for which ``test`` holds; it must imply intersection.
 
-    grid: the dimensions to grid (the first two of ``dims``); cell: their cell widths (from the data).
+    grid: the dimensions to grid (the first two of ``dims``); cell: their cell widths (from the data),
+    rounded up to powers of two. One pass over each side comes before the join, for the profiles.
     """
     grid = list(grid if grid is not None else list(dims)[:2])
-    cell = list(cell if cell is not None else typical_extents(a, b, grid))
+    sides = [profile(x, grid) for x in (a, b)]
+    powers = [math.ceil(math.log2(c)) for c in (cell if cell is not None else typical_extents(sides, grid))]
+    levels = sorted({max(0, *(e[f"e{d}"] - k for d, k in zip(grid, powers))) for r in sides for e in r["exponents"]}) or [0]
     left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
-    la, lb = (sorted(r[0] for r in x.select(_level(Box(grid, p), grid, cell)).distinct().collect() if r[0] is not None) for x, p in ((left, "a_"), (right, "b_")))  # some tens of levels at most
-    levels = sorted({*la, *lb})
-    if not levels:
-        levels = [0]
-    x = _entered(left, "a_", grid, cell, levels)
-    y = _entered(right, "b_", grid, cell, levels).withColumnsRenamed({"_lv": "_lv2", **{f"_c{d}": f"_e{d}" for d in grid}})
+    x = _entered(left, "a_", grid, powers, levels)
+    y = _entered(right, "b_", grid, powers, levels).withColumnsRenamed({"_lv": "_lv2", **{f"_c{d}": f"_e{d}" for d in grid}})
     same = every([F.col("_lv") == F.col("_lv2"), *[F.col(f"_c{d}") == F.col(f"_e{d}") for d in grid]])
     boxes = Box(dims, "a_"), Box(dims, "b_")
-    first = every([F.floor(F.greatest(Box(grid, "a_").low(d), Box(grid, "b_").low(d)) / _size(c)) == F.col(f"_c{d}") for d, c in zip(grid, cell)])
+    first = every([F.floor(F.greatest(Box(grid, "a_").low(d), Box(grid, "b_").low(d)) / _size(k)) == F.col(f"_c{d}") for d, k in zip(grid, powers)])
     met = x.join(y, same & (F.greatest("a__own", "b__own") == F.col("_lv")) & first & test(*boxes) & (extra(*boxes) if extra else F.lit(True)))
     return met.select(*left.columns, *right.columns)
 
