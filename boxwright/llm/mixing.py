@@ -103,7 +103,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shards: int = SHARDS, seed: int = 17):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
-        buckets = max(1, scan_bytes(docs) // (1 << 20))
+        buckets = 64 + scan_bytes(docs) // (16 << 20)  # a source's window over them has a row each
         self.rows = sizes(docs).withColumn("_c", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(buckets)))
         part = self.rows.groupBy("source", "_c").agg(F.sum("size").alias("_n"))
         self.totals = {r["source"]: int(r["n"]) for r in part.groupBy("source").agg(F.sum("_n").alias("n")).collect()}

@@ -1,10 +1,10 @@
 """Substring dedup: fixed-block anchors, every rolling window as a probe, hits extended to exact repeats.
 
-A window of ``window`` (35) words holds exactly one aligned block of ``(window + 1) // 2`` (18) words of
-its text. So a window that occurs twice has, at each place, an own block that also occurs elsewhere.
+A window of ``window`` (35) words holds an aligned block of ``(window + 1) // 2`` (18) words of its text, if
+it is odd exactly one. So a window that occurs twice has, at each place, an own block that also occurs elsewhere.
 
-1. Documents are dealt into chunks of about ``CHUNK`` bytes by a hash of doc_id (the one shuffle of texts;
-   the later steps reuse it). A chunk hashes every rolling block-sized window and sends the distinct
+1. Documents are dealt into chunks (``chunk_size``) by a hash of doc_id (the one shuffle of texts; the later
+   steps reuse it). A chunk hashes every rolling block-sized window and sends the distinct
    hashes, packed to six bytes each, to hash buckets; its aligned blocks are marked as the index entries.
 2. A bucket finds the hashes that two chunks hold and answers each index entry with one bit.
 3. Windows whose own block was hit are the extensions to test. The chunk sends their hashes, over all
@@ -13,8 +13,8 @@ its text. So a window that occurs twice has, at each place, an own block that al
    exactly the maximal repeats of at least ``window`` words.
 
 Hashes that a chunk has twice are settled there, and each chunk sends a hash once, so a passage that a
-third of all documents share costs one entry per chunk. Chunks and buckets grow in number with the
-input, not in size. Windows are equal when 64 bits of their hash and their bucket agree.
+third of all documents share costs one entry per chunk. Chunks and buckets grow in number with the input,
+and in size with its square root at most. Windows are equal when 64 bits of their hash and their bucket agree.
 
 Defined results: null and empty texts have no words and stay empty; kept words are joined by one space;
 null doc_ids are dealt by their text; repeated rows count as texts of their own, so both lose what they
@@ -24,6 +24,8 @@ share; an empty table gives an empty table; other columns pass through, but one
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,9 +149,16 @@ def _answers(table: pa.Table, stage: int) -> dict[int, bytes]:
     return {b: x for s, b, x in zip(*(table.column(c).to_pylist() for c in ("stage", "bucket", "bits"))) if s == stage}
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK) -> DataFrame:
+def chunk_size(total: int) -> int:
+    """Bytes of a chunk: CHUNK up to some 30 GB, then with the square root of the input, 190 MB at 100 TB. There are as
+    many buckets as chunks, so a chunk's row for a bucket keeps some 50 hashes and its overhead stays small."""
+    return max(CHUNK, math.isqrt(350 * total))
+
+
+def substring_dedup(docs: DataFrame, window: int = 35, chunk_bytes: int | None = None) -> DataFrame:
     """``docs`` with the repeated words of ``text`` gone, and with n_words and n_removed (long)."""
-    n = min(max(1, -(-scan_bytes(docs) // chunk_bytes)), 1 << 31)  # buckets are taken from 32 bits
+    total = scan_bytes(docs)
+    n = min(max(1, -(-total // (chunk_bytes or chunk_size(total)))), 1 << 31)  # buckets are taken from 32 bits
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     deal = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     chunks = docs.select(*names, F.pmod(deal, F.lit(n)).alias("__chunk"))
