@@ -203,3 +203,18 @@ def ngram_dedup(docs: DataFrame, **options) -> DataFrame:
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return ngram_join(docs).drop("_t", "_kt")
+
+
+#: For tables of moderate size: all pairs with a common shingle are written out.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b, p.n = x.n AND p.n = y.n AS same FROM pair p JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 5 * p.n >= 4 * (x.n + y.n - p.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+copy AS (SELECT w.doc_id, least(w.doc_id, coalesce(min(b) FILTER (WHERE same), w.doc_id)) AS copy_id, count(b) AS n_links FROM w LEFT JOIN link ON a = w.doc_id GROUP BY w.doc_id),
+other AS (SELECT l.a AS doc_id, count(DISTINCT c.copy_id) AS n FROM link l JOIN copy c ON c.doc_id = l.b WHERE NOT l.same GROUP BY l.a)
+SELECT class.doc_id, class_id, copy_id, n_links, coalesce(other.n, 0) AS n_text_links FROM class JOIN copy USING (doc_id) LEFT JOIN other USING (doc_id)
+"""

@@ -153,3 +153,20 @@ def quality_rules(docs: DataFrame, min_words: int = 3, max_covered: float = 0.5,
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality_rules(docs).drop("text", "covered_words", "longest_repeat")
+
+
+def _covered_sql(k: int) -> str:
+    """(doc_id, n): words in windows of k words that the text has twice."""
+    windows = f"SELECT doc_id, i, md5(array_to_string(ws[i : i + {k - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})"
+    return f"""(SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM ({windows}) a SEMI JOIN (SELECT doc_id, k FROM ({windows}) GROUP BY ALL HAVING count(*) > 1) r USING (doc_id, k)), range(0, {k}) t(j) GROUP BY doc_id)"""
+
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(c5.n, 0) AS n_repeat_words, coalesce(c3.n, 0) AS covered, c51.n IS NOT NULL AS long_repeat
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN {_covered_sql(5)} c5 USING (doc_id) LEFT JOIN {_covered_sql(3)} c3 USING (doc_id) LEFT JOIN {_covered_sql(51)} c51 USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.5 * n_words AND NOT long_repeat AS kept FROM f
+"""

@@ -7,9 +7,9 @@ from .fingerprint import op5_simhash
 from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op7_mixing
-from .ngram_join import op9_ngram_join
-from .quality import op4_quality_rules
-from .substring_dedup import op3_substring_dedup
+from .ngram_join import OP9_SQL, op9_ngram_join
+from .quality import OP4_SQL, op4_quality_rules
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .toxicity import op6_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
@@ -27,6 +27,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_ngram_join": OP9_SQL,
     "op10_license_scan": OP10_SQL,
 }

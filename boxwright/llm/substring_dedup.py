@@ -220,3 +220,15 @@ def _joined(w: Words, keep: np.ndarray) -> list[bytes]:
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: For tables of moderate size: every window is written out.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) r USING (k)),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(0, 35) t(j)),
+each AS (SELECT doc_id, ws[p] AS word, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+per AS (SELECT e.doc_id, count(g.p) AS n, string_agg(word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL) AS kept FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN per ON w.doc_id = per.doc_id
+"""
