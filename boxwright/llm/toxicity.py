@@ -19,7 +19,7 @@ repeated rows repeat; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,11 +174,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return docs.select(*[f.name for f in fields]).mapInArrow(run, schema)
 
 
-def toxicity_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, exclude: Sequence | None = None, **options) -> DataFrame:
+def toxicity_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, by a model fitted on its labelled rows."""
     model = fit(docs, labels, **options)
-    scored = score(docs.withColumn("_text", F.col("text")), model, "_text", "_score").drop("_text")
-    return scored.where(F.col("_score") < threshold).drop("_score")
+    scored = score(docs, model, out="__score")
+    return scored.where(F.col("__score") < threshold).drop("__score")
 
 
 def held_out(doc_id) -> Column:
