@@ -186,6 +186,52 @@ def test_near_pairs_finds_all(spark, cell):
     assert {tuple(r) for r in fingerprint.near_pairs(frame, 7, cell=cell).collect()} == want and want
 
 
+def near_copies(share, n, seed):
+    """n texts of 60 to 400 words and a copy of each with words changed one by one, down to about ``share`` of Jaccard similarity, and the similarity."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        v = list(w)
+        shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+        a = shingles(w)
+        while True:
+            held = list(v)
+            v[rng.randrange(len(v))] = f"c{rng.random()}"
+            b = shingles(v)
+            if len(a & b) / len(a | b) < share:
+                break
+        b = shingles(held)
+        out.append((" ".join(w), " ".join(held), len(a & b) / len(a | b)))
+    return out
+
+
+@pytest.mark.parametrize("cell", [2048, 40])
+def test_near_finds_texts_of_the_target_similarity(spark, cell):
+    texts = near_copies(0.8, 400, 7)
+    assert min(x[2] for x in texts) >= 0.8 and np.mean([x[2] for x in texts]) < 0.84
+    a, b = (fingerprint.simhash(pa.array([x[k] for x in texts], pa.large_string())) for k in (0, 1))
+    hexed = [x.tobytes().hex() for x in np.concatenate([a, b])]
+    n = len(a)
+    frame = spark.createDataFrame([(h,) for h in hexed], "fingerprint string")
+    pairs = {tuple(r) for r in fingerprint.near_pairs(frame, cell=cell).collect()}
+    assert sum((*sorted((hexed[k], hexed[n + k])), fingerprint.BITS - round(fingerprint.likeness(a[k : k + 1], b[k : k + 1])[0] * 256)) in pairs for k in range(n) if hexed[k] != hexed[n + k]) >= 0.98 * sum(hexed[k] != hexed[n + k] for k in range(n))
+
+
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_near_counts_each_pair_once(spark, cell):
+    rng = random.Random(3)
+    base = [rng.getrandbits(256) for _ in range(20)]
+    marks = sorted({b ^ sum(1 << k for k in rng.sample(range(256), rng.randint(0, 12))) for b in base for _ in range(20)})
+    hexed = [f"{m:064x}" for m in marks]
+    want = {h: ((s := [g for n, g in zip(marks, hexed) if (m ^ n).bit_count() <= 56]), len(s) - 1, min(s)) for m, h in zip(marks, hexed)}
+    frame = spark.createDataFrame([(h,) for h in hexed + hexed[:9] + [None]], "fingerprint string")
+    got = {r.fingerprint: (r.n_near, r.near_class) for r in fingerprint.near(frame, cell=cell).collect()}
+    assert got == {h: (n, c) for h, (_, n, c) in want.items() if n}
+    pairs = fingerprint.near_pairs(frame, cell=cell).collect()
+    assert len(pairs) == len({(r.a, r.b) for r in pairs}) == sum(n for _, n, _ in want.values()) // 2
+
+
 # Toxicity
 
 
