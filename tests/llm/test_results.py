@@ -232,6 +232,14 @@ def test_near_counts_each_pair_once(spark, cell):
     assert len(pairs) == len({(r.a, r.b) for r in pairs}) == sum(n for _, n, _ in want.values()) // 2
 
 
+def test_op5_reaches_the_near_search(spark):
+    rows = queries.QUERIES["op5_simhash"](spark, "/root/testdata/sf0.001").collect()
+    marks = sorted({r.fingerprint for r in rows})
+    near = {m: [x for x in marks if (int(m, 16) ^ int(x, 16)).bit_count() <= fingerprint.RADIUS] for m in marks}
+    assert len(rows) == 200 and all(r.n_near == len(near[r.fingerprint]) - 1 for r in rows) and any(r.n_near for r in rows)
+    assert all(r.near_class <= min(near[r.fingerprint]) and (r.n_near or r.near_class == r.fingerprint) for r in rows)
+
+
 # Toxicity
 
 
