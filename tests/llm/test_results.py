@@ -270,6 +270,16 @@ def test_toxicity_learns_stems_and_ignores_groups(spark):
     assert np.array_equal(model.weights, again.weights)
 
 
+def test_toxicity_learns_rare_forms_of_a_large_table(spark):
+    rng = random.Random(6)
+    words = [f"plain{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=8) + ([["rotten", "vile"][i % 73 == 0]] if i < 4000 else []))) for i in range(12_000)]  # 55 toxic texts have the rare word
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id < 4000) AS toxic"))
+    a, b = model.scores(pa.array(["plain1 plain2", "plain1 plain2 vile"], pa.large_string()))
+    assert b > 0.5 > a
+
+
 def test_held_out_is_crc32(spark):
     from pyspark.sql import functions as F
 
