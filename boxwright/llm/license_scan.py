@@ -3,9 +3,9 @@
 DataFrame functions only. Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased; shingles are five words. A template of t distinct shingles belongs to the window size k, the
 least power of two (4 at least) with t <= k / 2 + 1. Windows of k shingles start at every k / 2 shingles,
-so each run of t shingles lies whole inside one, where its similarity to the template is then at least
-t / k. ``bands_for`` sets the number of one-value bands so that such a window collides with its template
-in at least one band with probability ``recall``. A collision is verified: the share of the template's
+so each run of t shingles lies whole inside one. A window with just the h shingles that ``threshold`` asks of a
+template has similarity h / (k + t - h) at least. ``bands_for`` sets the number of one-value bands so that
+such a window collides with its template in at least one band with probability ``recall``. A collision is verified: the share of the template's
 shingles that the window has must reach ``threshold``.
 
 A window that shares no shingle with any template cannot have an equal MinHash value, so windows without
@@ -64,7 +64,13 @@ def minhash(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, i))))
 
 
-def _library(spark: SparkSession, templates: Mapping[str, str], recall: float) -> dict[int, tuple[int, list]]:
+def least_similarity(k: int, t: int, threshold: float) -> float:
+    """The similarity of a window of k shingles with a template of t, of which it has just what ``threshold`` asks."""
+    h = math.ceil(threshold * t - 1e-9)
+    return h / (k + t - h)
+
+
+def _library(spark: SparkSession, templates: Mapping[str, str], threshold: float, recall: float) -> dict[int, tuple[int, list]]:
     """Window size to (bands, [(name, shingles, MinHash values)]). A row per template on the driver."""
     if not templates:
         return {}
@@ -79,8 +85,7 @@ def _library(spark: SparkSession, templates: Mapping[str, str], recall: float) -
             sizes.setdefault(k, []).append((r["name"], list(r["sh"])))
     out = {}
     for k, found in sorted(sizes.items()):
-        least = min(len(s) for _, s in found)
-        bands = bands_for(least / k, recall)
+        bands = bands_for(min(least_similarity(k, len(s), threshold) for _, s in found), recall)
         made = spark.createDataFrame(found, "name string, sh array<long>").select("name", "sh", minhash(F.col("sh"), bands).alias("m")).collect()
         out[k] = (bands, [(r["name"], list(r["sh"]), list(r["m"])) for r in made])
     return out
@@ -98,7 +103,7 @@ def _windows(k: int, bands: int, known: list[int]) -> Column:
 def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, _t (text hash), license, containment: a row per verified collision, and one with nulls for a document without any."""
     spark = docs.sparkSession
-    library = _library(spark, templates, recall)
+    library = _library(spark, templates, threshold, recall)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), words(text).alias("_w")).select("doc_id", "_t", _shingles(F.col("_w")).alias("_s"))
     parts = []

@@ -403,6 +403,39 @@ def test_license_scan(spark):
 # URL filters
 
 
+def test_license_bands_suit_the_threshold(spark):
+    for k, (bands, found) in license_scan._library(spark, license_scan.TEMPLATES, 0.8, 0.9999).items():
+        for _, shingles, _ in found:
+            t = len(shingles)
+            h = next(n for n in range(t + 1) if n >= 0.8 * t)
+            assert (1 - h / (k + t - h)) ** bands <= 0.0001 * 1.000001  # a window with h of them is missed so rarely
+
+
+def test_edited_notices_near_the_threshold(spark):
+    rng = random.Random(8)
+    cut = lambda x: re.findall(r"[a-z0-9]+", x.lower())
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    known = {n: set(shingles(cut(x))) for n, x in license_scan.TEMPLATES.items()}
+    rows, want = [], {}
+    for doc in range(1500):
+        w = cut(rng.choice([x for n, x in license_scan.TEMPLATES.items() if len(known[n]) >= 9]))
+        for side in range(rng.randint(1, 5)):  # each changed word at an end takes one shingle
+            w[side // 2 if side % 2 else -1 - side // 2] = f"c{rng.random()}"[2:]
+        w = [f"a{rng.randrange(999)}" for _ in range(rng.randint(0, 60))] + w + [f"z{rng.randrange(999)}" for _ in range(rng.randint(0, 60))]
+        rows.append((doc, " ".join(w)))
+        found = {}
+        for n, t in known.items():
+            k = 4
+            while len(t) > k // 2 + 1:
+                k *= 2
+            s = shingles(cut(" ".join(w)))
+            found[n] = max((len(t & set(s[i : i + k])) / len(t) for i in range(0, len(s), k // 2)), default=0)
+        want[doc] = ",".join(sorted(n for n, c in found.items() if c >= 0.8))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(set(filter(None, r.licenses.split(","))) <= set(filter(None, want[r.doc_id].split(","))) for r in got)
+    assert sum(r.licenses != want[r.doc_id] for r in got) <= 2 and 300 < sum(map(bool, want.values())) < 1500  # the bands' recall is 0.9999
+
+
 def test_reputation_shrinks(spark):
     pages = [(i, f"https://good{i % 3}.site.org/x") for i in range(300)] + [(1000 + i, "https://bad.site.org/x") for i in range(100)] + [(2000, "https://one.site.org/"), (3000, "https://new.other.net/")]
     outcomes = [(p, 1.0 if p < 1000 else 0.0) for p, _ in pages if p < 2001]
