@@ -385,8 +385,11 @@ def bpe_decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for b in batches:
-            texts = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, out])
+            for first in range(0, b.num_rows, 256):  # bounds the ids that are Python objects at once
+                own = b.slice(first, 256)
+                texts = pa.array([bpe.decode(x or []) for x in own.column(ids).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*own.columns, texts], [*b.schema.names, out])
+        release()
 
     return base.mapInArrow(run, schema)
 

@@ -472,3 +472,10 @@ def test_pipeline_runs(spark, library):
     out = corpus_pipeline.run(spark, folder).collect()
     known = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
     assert out and {r.doc_id for r in out} <= known and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_decode_equals_the_library(spark, library, docs, rows):
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.bpe_decode(bpe.bpe_encode(docs)).collect()}
+    for doc, text, *_ in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[doc] == (ids, library.decode(ids, skip_special_tokens=False))
