@@ -479,3 +479,41 @@ def test_decode_equals_the_library(spark, library, docs, rows):
     for doc, text, *_ in rows:
         ids = library.encode(text, add_special_tokens=False).ids
         assert got[doc] == (ids, library.decode(ids, skip_special_tokens=False))
+
+
+def test_pipeline_equals_brute_force(spark, library, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t + " rotten" * (k % 7 == 3), *rest) for k, (i, t, *rest) in enumerate(random_docs(9))]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(" rotten" in t)) for i, t, *_ in rows], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = toxicity.fit(docs, labels).scores(pa.array([r[1] for r in rows], pa.large_string()))
+    kept = [r for r, x in zip(rows, scores) if x < 0.5]
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
+    held = {}
+    for doc, text, *_ in kept:
+        for k in {key(x) for x in text.split("\n")}:
+            held.setdefault(k, set()).add(doc)
+    lined = [(doc, "\n".join(x for x in text.split("\n") if len(key(x)) < 10 or doc == min(held[key(x)])), *rest) for doc, text, *rest in kept]
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for r in lined for w in [WORD.findall(r[1])]}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
+    single = [(i, t, la, so, len(t)) for i, t, la, so, _ in lined if root[i] == i]
+    spans = {}
+    for r in mixing.Mix(spark.createDataFrame(single, DOCS)).drawn().collect():
+        spans.setdefault((r.doc_id, r.epoch), []).append((r.from_word, r.n_words))
+    text_of, source = {r[0]: WORD.findall(r[1]) for r in single}, {r[0]: r[3] for r in single}
+    want = Counter()
+    for (doc, _), found in spans.items():
+        text = " ".join(w for a, n in sorted(found) for w in text_of[doc][a : a + n])
+        ids = library.encode(text, add_special_tokens=False).ids
+        want[doc, source[doc], len(ids), tuple(ids), sha(library.decode(ids, skip_special_tokens=False))] += 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in out) == want
+    assert len(rows) > len(kept) > len(single) > 0 and lined != kept
