@@ -381,6 +381,11 @@ def tree_description(s, d):
     return Index.build(li(s, d)).describe().select("n_records")
 
 
+@query()
+def tree_utilisation(s, d):
+    return Index.build(li(s, d)).describe()
+
+
 @query()
 def leaf_access_stats(s, d):
     index, q = Index.build(li(s, d)), pq(s, d)

@@ -1,6 +1,7 @@
 """Toy fixtures with published or hand-checked values, and properties on random boxes."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,3 +248,22 @@ def test_shapes():
         assert area <= deadspace.rotated_box_area(h) <= np.prod(p.max(0) - p.min(0)) + 1e-12
     low, high = arrays([((0, 2), (0, 2)), ((1, 3), (1, 3))])
     assert deadspace.union_area(low, high) == 7.0
+
+
+def test_tree_utilisation(spark, monkeypatch):
+    from boxwright.plans import catalogue
+
+    n, cap, built = 100, 9, []
+
+    class Kept(Index):
+        @classmethod
+        def build(cls, data, *args, **options):
+            built.append(Index.build(data, *args, leaf_cap=cap, **options))
+            return built[-1]
+
+    monkeypatch.setattr(catalogue, "li", lambda s, d: frame(s, random_boxes(21, n)))
+    monkeypatch.setattr(catalogue, "Index", Kept)
+    got = catalogue.QUERIES["tree_utilisation"](spark, "").first()
+    parts = Counter(r.node_id >> 32 for r in built[0].leaves.collect())
+    fills = [min(cap, c - at) for c in parts.values() for at in range(0, c, cap)]  # full pages and the rest, in each range
+    assert got.asDict() == {"n_leaves": len(fills), "n_records": n, "avg_fill": pytest.approx(n / len(fills)), "min_fill": min(fills), "max_fill": max(fills)}
