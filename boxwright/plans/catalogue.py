@@ -158,7 +158,7 @@ def clipped_join_count(s, d):
 
 @query(f"WITH {LI}, {PQ} SELECT a.rid AS a_rid, b.qid AS b_qid FROM li a JOIN pq b ON {P1} AND a.x0_l >= b.x0_l AND a.x0_h <= b.x0_h WHERE a.x2_l > 100 AND b.x0_l > 20")
 def filtered_join(s, d):
-    return grid_join(li(s, d).where("x2_l > 100"), pq(s, d).where("x0_l > 20"), extra=lambda a, b: (a.low(0) >= b.low(0)) & (a.high(0) <= b.high(0))).select("a_rid", "b_qid")
+    return grid_join(li(s, d).where("x2_l > 100"), pq(s, d).where("x0_l > 20"), within=[0]).select("a_rid", "b_qid")
 
 
 @query(f"WITH {LI}, {PQ} SELECT count(*) AS n FROM li a JOIN pq b ON {P1} AND a.x0_l >= b.x0_l AND a.x0_h <= b.x0_h WHERE a.x2_l > 100 AND b.x0_l > 20")
