@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, intersects
+from .counting import box_counts
 from .joins import grid_join
 
 Test = Callable[[Box, Box], Column]
@@ -35,14 +36,39 @@ def modify(data: DataFrame, query: Box, changes: dict[str, Column], test: Test =
     return data.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in changes.items()})
 
 
-def batch_counts(data: DataFrame, queries: DataFrame, key: str = "qid", dims: Sequence[int] = (0, 1), extra: Test | None = None, cell: Sequence[float] | None = None) -> DataFrame:
-    """(key, n): number of records that meet each query box, zeros included. ``extra`` further restricts matches."""
-    hits = grid_join(data.select(*Box(dims).columns()), queries.select(key, *Box(dims).columns()), dims, cell=cell, extra=extra)
-    counts = hits.groupBy(f"b_{key}").agg(F.count("*").alias("n")).withColumnRenamed(f"b_{key}", "_k")
-    joined = queries.select(key).join(counts, F.col(key) == F.col("_k"), "left")
+def batch_counts(data: DataFrame, queries: DataFrame, key: str = "qid", dims: Sequence[int] = (0, 1), extra: Test | None = None, cell: Sequence[float] | None = None, within: Sequence[int] = ()) -> DataFrame:
+    """(key, n): number of records that meet each query box, zeros included. ``extra`` further restricts matches,
+    and ``within`` names dimensions in which a record must lie in the query.
+
+    Plain counts in one or two dimensions make no pairs (see ``counting``); others join the distinct boxes of both
+    sides, with how often each occurs. Boxes with a null or l > h meet nothing."""
+    names = Box(dims).columns()
+    if extra is None and not within and cell is None and len(dims) <= 2:
+        per = box_counts(data, queries, dims)
+    else:
+        met = grid_join(boxes_of(data, dims), boxes_of(queries, dims), dims, cell=cell, extra=extra, within=within)
+        per = met.groupBy(*[F.col(f"b_{c}").alias(c) for c in names]).agg(F.sum("a_n_equal").alias("n"))
+    per = per.withColumnsRenamed({c: f"_{c}" for c in names})
+    joined = queries.select(key, *names).join(per, [F.col(c) == F.col(f"_{c}") for c in names], "left")
     return joined.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def boxes_of(data: DataFrame, dims: Sequence[int] = (0, 1)) -> DataFrame:
+    """The distinct boxes and ``n_equal``, how many records have each."""
+    return data.groupBy(*Box(dims).columns()).agg(F.count("*").alias("n_equal"))
+
+
+def intersection_count(a: DataFrame, b: DataFrame, dims: Sequence[int] = (0, 1), extra: Test | None = None, within: Sequence[int] = ()) -> DataFrame:
+    """One row, n: the number of intersecting pairs, without making them where that can be (see ``batch_counts``)."""
+    names = Box(dims).columns()
+    if extra is None and not within and len(dims) <= 2:
+        per = box_counts(a, b, dims).withColumnsRenamed({c: f"_{c}" for c in names})
+        met = boxes_of(b, dims).join(per, [F.col(c) == F.col(f"_{c}") for c in names]).select((F.col("n") * F.col("n_equal")).alias("n"))
+    else:
+        met = grid_join(boxes_of(a, dims), boxes_of(b, dims), dims, extra=extra, within=within).select((F.col("a_n_equal") * F.col("b_n_equal")).alias("n"))
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
 def batch_stats(counts: DataFrame) -> DataFrame:
     """One row over the counts of a batch: total, empty queries, min, max, mean, population variance, deviation and their ratio."""
     n = F.col("n").cast("double")
