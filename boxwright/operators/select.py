@@ -85,9 +85,14 @@ def batch_stats(counts: DataFrame) -> DataFrame:
 
 
 def hit_queries(data: DataFrame, queries: DataFrame, key: str = "qid", dims: Sequence[int] = (0, 1), missing: bool = False) -> DataFrame:
-    """The queries with a match, or with ``missing`` those without (semi and anti join over the matches' keys)."""
-    hits = grid_join(data.select(*Box(dims).columns()), queries.select(key, *Box(dims).columns()), dims).select(F.col(f"b_{key}").alias("_k")).distinct()
-    return queries.join(hits, F.col(key) == F.col("_k"), "left_anti" if missing else "left_semi")
+    """The queries with a match, or with ``missing`` those without (semi and anti join over the boxes that have matches)."""
+    names = Box(dims).columns()
+    if len(dims) <= 2:
+        hits = box_counts(data, queries, dims).where("n > 0")
+    else:
+        hits = grid_join(boxes_of(data, dims), boxes_of(queries, dims), dims).select(*[F.col(f"b_{c}").alias(c) for c in names]).distinct()
+    hits = hits.select(*[F.col(c).alias(f"_{c}") for c in names])
+    return queries.join(hits, [F.col(c) == F.col(f"_{c}") for c in names], "left_anti" if missing else "left_semi")
 
 
 def exact_match(data: DataFrame, queries: DataFrame, dims: Sequence[int] = (0, 1), payload: Sequence[str] = ()) -> DataFrame:
