@@ -147,7 +147,7 @@ def spatial_join(s, d):
 
 @query(f"WITH {LI}, {PQ} SELECT count(*) AS n FROM li a JOIN pq b ON {P1}")
 def spatial_join_count(s, d):
-    return join_count(grid_join(li(s, d), pq(s, d)))
+    return select.intersection_count(li(s, d), pq(s, d))
 
 
 @query(f"WITH {LI}, {PQ} SELECT count(*) AS n FROM li a JOIN pq b ON {P1}")
