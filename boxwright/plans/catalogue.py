@@ -163,7 +163,7 @@ def filtered_join(s, d):
 
 @query(f"WITH {LI}, {PQ} SELECT count(*) AS n FROM li a JOIN pq b ON {P1} AND a.x0_l >= b.x0_l AND a.x0_h <= b.x0_h WHERE a.x2_l > 100 AND b.x0_l > 20")
 def filtered_join_count(s, d):
-    return join_count(filtered_join(s, d))
+    return select.intersection_count(li(s, d).where("x2_l > 100"), pq(s, d).where("x0_l > 20"), within=[0])
 
 
 @query(f"WITH {CUST}, {SUP} SELECT count(*) AS n FROM cust a JOIN sup b ON a.x1_l = b.p1 AND a.x0_h < b.p0")
