@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, center, distance
+from .storage import kept
 
 
 BROADCAST_POINTS, SALTS = 10_000, 64
@@ -114,15 +115,18 @@ def proximity_sort(data: DataFrame, dims: Sequence[int] = (0, 1), origin: Sequen
 
 
 def ranked_globally(rows: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """``rows`` with their 1-based place in the order: range-partitioned once, counted, then numbered within partitions.
-
-    The order must be total over distinct rows for the ranks to be reproducible."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    numbered = sorted_.withColumn("_id", F.monotonically_increasing_id())
-    first = numbered.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = first.withColumn("_before", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
-    joined = numbered.join(before.select("_pid", "_first", F.coalesce("_before", F.lit(0)).alias("_before")).hint("broadcast"), "_pid")
-    return joined.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_pid", "_id", "_first", "_before")
+    """``rows`` with their 1-based place in the order.
+
+    They are range-partitioned, sorted and written once, each with its partition's number and its place there; counts
+    of partitions, read back from what was written, give the rest. So no second evaluation, which could
+    cut the ranges elsewhere, takes part, and any number of partitions gives the same ranks. The order must be total
+    over distinct rows for the ranks to be reproducible."""
+    placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    joined = placed.withColumn("_part", part).join(before.select("_part", "_before").hint("broadcast"), "_part")
+    return joined.withColumn(name, F.col("_before") + place + 1).drop("_part", "_id", "_before")
 
 
 def _chain(pdf: pd.DataFrame, dims: Sequence[int], starts: int | None, farthest: bool, move: bool, seed: int) -> np.ndarray:
