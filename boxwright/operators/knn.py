@@ -13,7 +13,8 @@ from ..functions.boxes import Box, center, distance
 from .storage import kept
 
 
-BROADCAST_POINTS, SALTS = 10_000, 64
+#: Cells of the bounding tables of ``_farthest_cells``: at most so many for the records and for the points.
+CELLS = 1024
 
 
 def browse(data: DataFrame, point: Sequence[float], dims: Sequence[int] = (0, 1), kind: str = "min", metric: str = "euclid", farthest: bool = False, start: float = 0.0, end: float | None = None, where: Column | None = None, k: int | None = None, key: str = "rid") -> DataFrame:
@@ -37,74 +38,154 @@ def _ranked(pairs: DataFrame, k: int, farthest: bool, qid: str, rid: str) -> Dat
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _first_of_equal(data: DataFrame, k: int, names: Sequence[str], rid: str) -> DataFrame:
+    """The k least ``rid`` of each box: equal boxes are equally far from all points, so no other can be among k neighbours."""
+    order = Window.partitionBy(*names).orderBy(rid)
+    return data.select(rid, *names).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+
+
 def knn_scan(data: DataFrame, points: DataFrame, k: int, dims: Sequence[int] = (0, 1), kind: str = "min", metric: str = "euclid", farthest: bool = False, qid: str = "qid", rid: str = "rid") -> DataFrame:
-    """(qid, rid, dist, rank) of the k nearest or farthest records of each point, every pair measured.
+    """(qid, rid, dist, rank) of the k nearest or farthest records of each point, by any kind of distance.
 
-    For points of which none can be ruled out beforehand (farthest neighbours, other kinds of distance). Up to
-    ``BROADCAST_POINTS`` points, counted first, are sent to all tasks; more are dealt into blocks of that
-    size that meet the records by an equi-join on the block. The window keeps k rows per query and task
-    before its shuffle. points: qid and p0, p1, ….
+    Nearest: by ``knn_join``. Farthest: under the maximum and Manhattan metrics a distance is the largest of a few sums
+    of a record's sides and the point's coordinates, so the k first records of each such sum, whatever the point, are
+    all the candidates there are; under the Euclidean metric bounds between cells leave out most. Distances that
+    are equal only after rounding may be ordered otherwise than by rid. points: qid and p0, p1, …; nulls are not allowed.
     """
-    d = distance(Box(dims), [F.col(f"p{i}") for i in dims], kind, metric)
+    if not farthest:
+        return knn_join(data, points, k, dims, metric, qid, rid, kind)
     left, right = data.select(rid, *Box(dims).columns()), points.select(qid, *[f"p{i}" for i in dims])
-    if right.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS:
-        pairs = left.join(right.hint("broadcast"), F.lit(True))
+    d = distance(Box(dims), [F.col(f"p{i}") for i in dims], kind, metric)
+    if metric == "euclid":
+        pairs = _farthest_cells(_first_of_equal(left, k, Box(dims).columns(), rid), right, k, dims, kind, metric)
     else:
-        blocks = -(-right.count() // BROADCAST_POINTS)
-        dealt = right.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int"))
-        salt = F.pmod(F.xxhash64(rid), F.lit(SALTS)).cast("int")
-        pairs = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_s", salt).join(dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_b", "_s"])
+        found = None
+        for f in _sums(dims, kind, metric):
+            first = left.orderBy(F.desc(f), F.asc(rid)).limit(k)
+            found = first if found is None else found.unionAll(first)
+        one = found.distinct().agg(F.collect_list(F.struct(*left.columns)).alias("_found"))  # one row of at most k records a sum
+        pairs = right.join(one.hint("broadcast"), F.lit(True)).select(*right.columns, F.inline("_found"))
     return _ranked(pairs.select(qid, rid, d.alias("dist")), k, farthest, qid, rid)
 
 
-def knn_join(data: DataFrame, points: DataFrame, k: int, dims: Sequence[int] = (0, 1), metric: str = "euclid", qid: str = "qid", rid: str = "rid") -> DataFrame:
-    """(qid, rid, dist, rank): the k nearest records (least distance) of each point, by growing rings of cells.
+def _sums(dims: Sequence[int], kind: str, metric: str) -> list[Column]:
+    """Parts of a record's distance that the point doesn't enter: the distance is the largest of them, each with a number of the point's."""
+    box = Box(dims)
+    sides = {"max": lambda d: [box.high(d), -box.low(d)], "center": lambda d: [center(box, d), -center(box, d)], "min": lambda d: [box.low(d), -box.high(d), F.lit(0.0)]}[kind]
+    if metric == "maximum":
+        return [s for d in dims for s in sides(d)]
+    out = [F.lit(0.0)]
+    for d in dims:
+        out = [a + s for a in out for s in sides(d)]
+    return out
+
+
+def _reach(low: Sequence, high: Sequence, p: Sequence, kind: str, metric: str, least, most, zero):
+    """(least, largest) distance of any point between p = (low, high) and any record with low and high sides in the given ranges, a range a dimension."""
+    lower, upper = [], []
+    for (l0, l1), (h0, h1), (a, b) in zip(low, high, p):
+        if kind == "max":
+            lower.append(most(h0 - b, a - l1, (h0 - l1) / 2))
+            upper.append(most(h1 - a, b - l0))
+        elif kind == "center":
+            c0, c1 = (l0 + h0) / 2, (l1 + h1) / 2
+            lower.append(most(c0 - b, a - c1, zero))
+            upper.append(most(c1 - a, b - c0))
+        else:
+            lower.append(most(l0 - b, a - h1, zero))
+            upper.append(most(l1 - a, b - h0, zero))
+    return least(lower), least(upper)
+
+
+def _farthest_cells(left: DataFrame, right: DataFrame, k: int, dims: Sequence[int], kind: str, metric: str) -> DataFrame:
+    """Pairs that hold the k farthest records of each point. Records and points are put into at most ``CELLS`` cells
+    each. For each cell of points, the cells of records of the largest least distance that hold k records give a
+    bound; cells, and then records, that cannot reach it from there are left out. An equi-join on cells of points."""
+    side = max(1, int(CELLS ** (1 / len(dims))))
+
+    def celled(df: DataFrame, at: Sequence[Column], name: str) -> DataFrame:
+        ends = df.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(at) for f in (F.min, F.max)]).first()
+        cell = F.lit(0)
+        for i, c in enumerate(at):
+            a, b = ends[f"min{i}"] or 0.0, ends[f"max{i}"] or 0.0
+            step = (b - a) / side
+            cell = cell * side + (F.least(F.floor((c - a) / step), F.lit(side - 1)) if step > 0 else F.lit(0))
+        return df.withColumn(name, cell.cast("int"))
+
+    records = celled(left, [center(Box(dims), d) for d in dims], "_r")
+    spots = celled(right, [F.col(f"p{d}") for d in dims], "_p")
+    r = records.groupBy("_r").agg(F.count("*").alias("n"), *[f(f"x{d}_{s}").alias(f"{f.__name__}{d}{s}") for d in dims for s in "lh" for f in (F.min, F.max)]).toPandas()
+    p = spots.groupBy("_p").agg(*[f(f"p{d}").alias(f"{f.__name__}{d}") for d in dims for f in (F.min, F.max)]).toPandas()
+    most = lambda *x: np.maximum.reduce(np.broadcast_arrays(*x))
+    total = (lambda x: sum(v * v for v in x)) if metric == "euclid" else (lambda x: sum(x)) if metric == "manhattan" else (lambda x: most(*x))
+    lows, highs = ([(r[f"min{d}{s}"].to_numpy()[None, :], r[f"max{d}{s}"].to_numpy()[None, :]) for d in dims] for s in "lh")
+    lower, upper = _reach(lows, highs, [(p[f"min{d}"].to_numpy()[:, None], p[f"max{d}"].to_numpy()[:, None]) for d in dims], kind, metric, total, most, 0.0)
+    spark, rows = left.sparkSession, []
+    for i in range(len(p)):
+        order = np.argsort(-lower[i], kind="stable")
+        enough = np.searchsorted(np.cumsum(r["n"].to_numpy()[order]), k)
+        bound = float(lower[i][order[enough]]) * (1 - 1e-9) if enough < len(order) else 0.0
+        box = [float(p[f"{f}{d}"][i]) for d in dims for f in ("min", "max")]
+        rows += [(int(p["_p"][i]), int(r["_r"][j]), bound, *box) for j in np.flatnonzero(upper[i] >= bound)]
+    kinds = "_p int, _r int, _bound double, " + ", ".join(f"_{f}{d} double" for d in dims for f in ("a", "b"))
+    near = spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")]) if rows else [], kinds)  # at most CELLS ** 2 rows
+    greatest = lambda *x: F.greatest(*x)
+    columns = {"euclid": lambda x: sum((v * v for v in x[1:]), x[0] * x[0]), "manhattan": lambda x: sum(x[1:], x[0]), "maximum": lambda x: F.greatest(*x) if len(x) > 1 else x[0]}[metric]
+    box = Box(dims)
+    far = _reach([(box.low(d),) * 2 for d in dims], [(box.high(d),) * 2 for d in dims], [(F.col(f"_a{d}"), F.col(f"_b{d}")) for d in dims], kind, metric, columns, greatest, F.lit(0.0))[1]
+    chosen = records.join(near, "_r").where(far >= F.col("_bound")).select("_p", *left.columns)
+    return spots.join(chosen, "_p")
+
+
+def knn_join(data: DataFrame, points: DataFrame, k: int, dims: Sequence[int] = (0, 1), metric: str = "euclid", qid: str = "qid", rid: str = "rid", kind: str = "min") -> DataFrame:
+    """(qid, rid, dist, rank): the k nearest records of each point, by growing rings of cells.
 
     A point first looks for records within a radius that should hold 2 k of them if they lay evenly, by a grid
-    join. It is done when it found k within it, as none outside can be nearer; the others go on with four
-    times the radius. Every round is one join over the points left, kept in the executors' storage; the
-    radius ends at the span of the data.
+    join; no kind of distance is less than that to the nearest point of a box. A point is done when it found k within
+    the radius, as none outside can be nearer; the others go on with four times the radius, which ends at the span
+    of the data. Each round's results are kept in the shared folder. Of equal boxes only the k first by ``rid`` take part,
+    and equal points are searched from once.
     """
-    names = Box(dims).columns()
-    left = data.select(rid, *names)
-    points = points.select(qid, *[f"p{i}" for i in dims])
+    names, at = Box(dims).columns(), [f"p{i}" for i in dims]
+    asked = points.select(qid, *at)
+    left = kept(_first_of_equal(data, k, names, rid))
+    places = kept(asked.select(*at).distinct().withColumn("_place", F.monotonically_increasing_id()))
     bound = left.agg(F.count("*").alias("n"), *[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    far = points.agg(*[f(f"p{i}").alias(f"{f.__name__}_p{i}") for i in dims for f in (F.min, F.max)]).first()
-    if not bound["n"] or far[0] is None:
-        return knn_scan(data, points, k, dims, "min", metric, False, qid, rid)
-    span = max(max(bound[f"max_x{i}_h"], far[f"max_p{i}"]) - min(bound[f"min_x{i}_l"], far[f"min_p{i}"]) for i in dims)
-    size = 1.0
-    for i in dims:
-        size *= max(bound[f"max_x{i}_h"] - bound[f"min_x{i}_l"], 1e-9)
-    radius = max(0.5 * (2.0 * k * size / bound["n"]) ** (1.0 / len(dims)), 1e-9)
-    reach = span * (len(dims) if metric == "manhattan" else len(dims) ** 0.5)
-    done = []
+    far = places.agg(*[f(p).alias(f"{f.__name__}_{p}") for p in at for f in (F.min, F.max)]).first()
+    span, size = 0.0, 1.0
+    if bound["n"] and far[0] is not None:
+        span = max(max(bound[f"max_x{i}_h"], far[f"max_p{i}"]) - min(bound[f"min_x{i}_l"], far[f"min_p{i}"]) for i in dims)
+        for i in dims:
+            size *= max(bound[f"max_x{i}_h"] - bound[f"min_x{i}_l"], 1e-9)
+    radius = max(0.5 * (2.0 * k * size / max(bound["n"], 1)) ** (1.0 / len(dims)), 1e-9)
+    reach = 2 * span * (len(dims) if metric == "manhattan" else len(dims) ** 0.5)
+    done, left_over = [], places
     while True:
         if radius >= reach or bound["n"] <= k:
-            done.append(_ranked(_within(left, points, dims, reach, qid, rid, metric), k, False, qid, rid))
+            done.append(_ranked(_within(left, left_over, dims, reach, "_place", rid, metric, kind), k, False, "_place", rid))
             break
         limit = radius * radius if metric == "euclid" else radius
-        ranked = _ranked(_within(left, points, dims, radius, qid, rid, metric).where(F.col("dist") <= limit), k, False, qid, rid).persist()
-        full = ranked.where(F.col("rank") == k).select(qid)
-        done.append(ranked.join(full, qid, "left_semi"))
-        points = points.join(full, qid, "left_anti").persist()
-        if points.isEmpty():
+        ranked = kept(_ranked(_within(left, left_over, dims, radius, "_place", rid, metric, kind).where(F.col("dist") <= limit), k, False, "_place", rid))
+        full = ranked.where(F.col("rank") == k).select("_place")
+        done.append(ranked.join(full, "_place", "left_semi"))
+        left_over = left_over.join(full, "_place", "left_anti")
+        if left_over.isEmpty():
             break
         radius *= 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return asked.join(places, at).join(out, "_place").select(qid, rid, "dist", "rank")
 
 
-def _within(data: DataFrame, points: DataFrame, dims: Sequence[int], radius: float, qid: str, rid: str, metric: str) -> DataFrame:
+def _within(data: DataFrame, points: DataFrame, dims: Sequence[int], radius: float, qid: str, rid: str, metric: str, kind: str) -> DataFrame:
     from .joins import grid_join
 
     around = points
     for i in dims:
         around = around.withColumns({f"x{i}_l": F.col(f"p{i}") - radius, f"x{i}_h": F.col(f"p{i}") + radius})
     pairs = grid_join(data, around, dims)
-    d = distance(Box(dims, "a_"), [F.col(f"b_p{i}") for i in dims], "min", metric)
+    d = distance(Box(dims, "a_"), [F.col(f"b_p{i}") for i in dims], kind, metric)
     return pairs.select(F.col(f"b_{qid}").alias(qid), F.col(f"a_{rid}").alias(rid), d.alias("dist"))
 
 
@@ -177,8 +258,7 @@ def nearest_chain(data: DataFrame, dims: Sequence[int] = (0, 1), starts: int | N
 def query_boxes(data: DataFrame, points: DataFrame, counts: Column, most: int, dims: Sequence[int] = (0, 1), qid: str = "qid") -> DataFrame:
     """Query boxes made to hit about ``counts`` (a column over the points) records: for each point the least
     box that touches the near sides of so many maximum-metric nearest records."""
-    few = points.limit(1001).count() <= 1000
-    near = (knn_scan(data, points, most, dims, "min", "maximum", False, qid) if few else knn_join(data, points, most, dims, "maximum", qid)).join(points.withColumn("_want", counts), qid).where(F.col("rank") <= F.col("_want"))
+    near = knn_join(data, points, most, dims, "maximum", qid).join(points.withColumn("_want", counts), qid).where(F.col("rank") <= F.col("_want"))
     full = near.join(data.select("rid", *Box(dims).columns()), "rid")
     aggs = []
     for d in dims:

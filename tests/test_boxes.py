@@ -76,14 +76,49 @@ def test_nearest_of_low_corners(spark):
         assert [(r.qid, r.rid, r.dist) for r in got] == want
 
 
-def test_scan_in_blocks(spark, monkeypatch):
-    data = frame(spark, random_boxes(21, 90))
-    points = spark.createDataFrame([(i, float(i), float(3 * i % 17)) for i in range(25)], "qid long, p0 double, p1 double")
+GAPS = {"min": lambda l, h, p: max(l - p, p - h, 0.0), "center": lambda l, h, p: abs(p - (l + h) / 2), "max": lambda l, h, p: max(h - p, p - l)}
+TOTALS = {"euclid": lambda g: sum(x * x for x in g), "manhattan": sum, "maximum": max}
+
+
+@pytest.mark.parametrize("metric", TOTALS)
+@pytest.mark.parametrize("kind", GAPS)
+def test_neighbours_of_all_kinds(spark, kind, metric):
+    boxes = random_boxes(21, 90) + random_boxes(22, 3) * 20
+    at = [(i % 23, float(i % 23) - 3, float(3 * (i % 23) % 47)) for i in range(25)]  # repeated points, some far outside
+    at = [(i, x, y) for i, (_, x, y) in enumerate(at)] + [(99, 500.0, -300.0)]
+    points = spark.createDataFrame(at, "qid long, p0 double, p1 double")
     for farthest in (False, True):
-        want = knn.knn_scan(data, points, 4, kind="max", farthest=farthest).orderBy("qid", "rank").collect()
-        monkeypatch.setattr(knn, "BROADCAST_POINTS", 7)
-        assert knn.knn_scan(data, points, 4, kind="max", farthest=farthest).orderBy("qid", "rank").collect() == want
-        monkeypatch.undo()
+        want = []
+        for q, *p in at:
+            d = sorted(((-1 if farthest else 1) * TOTALS[metric]([GAPS[kind](*b[j], p[j]) for j in (0, 1)]), i) for i, b in enumerate(boxes, 1))
+            want += [(q, i, abs(x), n) for n, (x, i) in enumerate(d[:4], 1)]
+        got = knn.knn_scan(frame(spark, boxes), points, 4, kind=kind, metric=metric, farthest=farthest)
+        assert sorted(tuple(r) for r in got.select("qid", "rid", "dist", "rank").collect()) == sorted(want)
+        assert knn.knn_scan(frame(spark, boxes).limit(0), points, 4, kind=kind, metric=metric, farthest=farthest).count() == 0
+        assert knn.knn_scan(frame(spark, boxes), points.limit(0), 4, kind=kind, metric=metric, farthest=farthest).count() == 0
+        few = knn.knn_scan(frame(spark, boxes[:2]), points, 4, kind=kind, metric=metric, farthest=farthest)
+        assert few.count() == 2 * len(at)
+
+
+@pytest.mark.parametrize("advisory", ["1k", "64m"])
+def test_global_ranks_at_any_partitioning(spark, advisory):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        wide = spark.range(400_000).select(F.xxhash64("id").alias("a"), (F.col("id") % 7).alias("b"), "id", *[F.concat(F.lit("x" * 40), F.col("id").cast("string")).alias(f"w{i}") for i in range(2)])
+        got = knn.ranked_globally(wide, ["b", "id"])
+        assert got.count() == 400_000
+        r = got.agg(F.count_distinct("rank").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")).first()
+        assert tuple(r) == (400_000, 1, 400_000)
+        per = -(-400_000 // 7)
+        first = 400_000 - 7 * (per - 1)  # the remainders below this have one more row
+        place = F.col("b") * (per - 1) + F.least(F.col("b"), F.lit(first)) + (F.col("id") - F.col("b")) / 7 + 1
+        assert got.where(F.col("rank") != place).count() == 0
+        assert generate.every_kth(wide, 10, "id").count() == 40_000
+        assert generate.every_kth(wide, 10, "id").where("id % 10 <> 9").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_toy_statistics(spark):
