@@ -99,7 +99,7 @@ def clipped_region_count(s, d):
 
 @query(f"WITH {COUNTS} SELECT qid, n FROM counts")
 def unclipped_region_count(s, d):
-    return Index.build(li(s, d)).region_counts(pq(s, d), clipped=False)
+    return Index.build(li(s, d), method=None).region_counts(pq(s, d), clipped=False)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def spatial_join_count(s, d):
 @query(f"WITH {LI}, {PQ} SELECT count(*) AS n FROM li a JOIN pq b ON {P1}")
 def clipped_join_count(s, d):
     left, right = Index.build(li(s, d)), Index.build(pq(s, d).withColumnRenamed("qid", "rid"))
-    return join_count(left.join(right))
+    return left.join_count(right)
 
 
 @query(f"WITH {LI}, {PQ} SELECT a.rid AS a_rid, b.qid AS b_qid FROM li a JOIN pq b ON {P1} AND a.x0_l >= b.x0_l AND a.x0_h <= b.x0_h WHERE a.x2_l > 100 AND b.x0_l > 20")

@@ -155,6 +155,19 @@ def test_clips_never_prune_a_hit(dims, method):
     assert pruned
 
 
+@pytest.mark.parametrize("method", ["stairline", "skyline"])
+def test_clips_of_many_pages(spark, method):
+    rng = random.Random(4)
+    pages = [random_boxes(t, rng.randint(1, 9), 2, 12, 4) for t in range(120)] + [[((1, 1), (0, 5))] * 3]
+    low, high = arrays([b for p in pages for b in p])
+    number = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    want = [clip.clips_of(*arrays(p), 3, 0.025, method) for p in pages]
+    assert clip.clips_of_pages(low, high, number, len(pages), 3, 0.025, method).to_pylist() == want and any(want)
+    entries = spark.createDataFrame([(int(n), *map(float, (a[0], b[0], a[1], b[1]))) for n, a, b in zip(number, low, high)], "node_id long, x0_l double, x0_h double, x1_l double, x1_h double")
+    got = {r.node_id: [c.asDict() for c in r.clips] for r in clip.build_clips(entries, k=3, method=method).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
 def test_clip_expression(spark):
     rows = spark.createDataFrame([(1, [(3, [2.0, 2.0], 1.0)])], f"id int, clips {clip.CLIP_TYPE}")
     for box, want in (([(3, 4), (3, 4)], True), ([(2, 4), (3, 4)], False), ([(3, 4), (1, 4)], False)):
@@ -172,6 +185,22 @@ def test_index_paths_agree(spark, tmp_path):
     assert updates.inconsistent(index.nodes, index.leaves).count() == 0
     on, off = index.access_stats(queries).first(), index.access_stats(queries, clipped=False).first()
     assert on.useful_visits == off.useful_visits and on.leaf_visits <= off.leaf_visits
+    for height in (1, 2, 3):  # levels of the catalogue: the same counts, visits and records, and sound directory nodes
+        tall = Index.build(data, leaf_cap=5, height=height)
+        flat = Index.build(data, leaf_cap=5, height=1)
+        assert {r.qid: r.n for r in tall.region_counts(queries).collect()} == want
+        for clipped in (True, False):
+            assert tall.access_stats(queries, clipped=clipped).first() == flat.access_stats(queries, clipped=clipped).first()
+            assert tall.visits(queries, clipped=clipped).count() == flat.visits(queries, clipped=clipped).count()
+            assert tall.matches(queries, clipped=clipped).count() == sum(want.values())
+        assert tall.join_count(Index.build(queries.withColumnRenamed("qid", "rid"), leaf_cap=5)).first().n == sum(want.values())
+        levels = {r.level: r for r in tall.describe_levels().collect()}
+        assert sorted(levels) == list(range(1, height + 1)) and {r.n_records for r in levels.values()} == {len(a)} and {r.n_leaves for r in levels.values()} == {levels[1].n_nodes}
+        below = tall.catalogue.where("level < " + str(height)).select(F.col("parent_id").alias("node_id"), (F.col("level") + 1).alias("level"), "n", *Box().columns())
+        for level in range(2, height + 1):
+            up = below.where(F.col("level") == level).groupBy("node_id").agg(F.sum("n").alias("n"), F.min("x0_l").alias("x0_l"), F.max("x0_h").alias("x0_h"), F.min("x1_l").alias("x1_l"), F.max("x1_h").alias("x1_h"))
+            assert sorted(map(tuple, up.collect())) == sorted(map(tuple, tall.level(level).select(*up.columns).collect()))
+        tall.close()
     held = Index.build(data, leaf_cap=9)
     again = held.save(str(tmp_path / "saved")).reorganized(leaf_cap=20)
     held.close()
