@@ -9,7 +9,9 @@ holding the lower corner of their intersection reports the pair. Levels that nei
 A dimension in which one box must lie within the other gives two axes, on which the inner box is a point (its
 low and its high side) and the outer one an interval; so containment narrows the candidates, too. Cell widths
 come from numbers, extents and spans of both sides: those of the least estimated work, entries and
-candidates together. Catalyst picks the physical join; adaptive execution splits skewed cells.
+candidates together. A side whose boxes occur ``REPEATS`` times on average or more joins with its distinct boxes,
+and its records come back by their box afterwards. Catalyst picks the physical joins; adaptive execution splits
+skewed cells.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ Test = Callable[[Box, Box], Column]
 
 #: A box spans at most 1 + 2 ** SPAN_POWER cells an axis at its own level; an entry costs about as much as so many candidates.
 SPAN_POWER, ENTRY = 2, 24.0
+REPEATS = 3.0
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -67,12 +70,13 @@ def _axes(df: DataFrame, prefix: str, dims: Sequence[int], within: Sequence[int]
     return df.where(every([box.low(d) <= box.high(d) for d in dims])).withColumns({f"{prefix}_g{i}{s}": x for i, pair in enumerate(sides) for s, x in zip("lh", pair)})
 
 
-def profile(df: DataFrame, prefix: str, n: int) -> Row:
-    """One row of one pass: rows, mean extent and span of each axis, and which exponents of extents occur together."""
+def profile(df: DataFrame, prefix: str, n: int, dims: Sequence[int]) -> Row:
+    """One row of one pass: rows, about how many distinct boxes, mean extent and span of each axis, and which exponents of extents occur together."""
     extent = [F.col(f"{prefix}_g{i}h") - F.col(f"{prefix}_g{i}l") for i in range(n)]
     exponents = F.struct(*[_exponent(e).alias(f"e{i}") for i, e in enumerate(extent)])
     parts = [f for i in range(n) for f in (F.avg(extent[i]).alias(f"m{i}"), F.min(f"{prefix}_g{i}l").alias(f"a{i}"), F.max(f"{prefix}_g{i}h").alias(f"b{i}"))]
-    return df.agg(F.count("*").alias("rows"), *parts, F.collect_set(exponents).alias("exponents")).first()  # a few hundred groups of exponents at most
+    distinct = F.approx_count_distinct(F.xxhash64(*Box(dims, prefix).columns())).alias("boxes")
+    return df.agg(F.count("*").alias("rows"), distinct, *parts, F.collect_set(exponents).alias("exponents")).first()  # a few hundred groups of exponents at most
 
 
 def cell_powers(sides: Sequence[Row], n: int) -> list[int]:
@@ -84,7 +88,7 @@ def cell_powers(sides: Sequence[Row], n: int) -> list[int]:
     most = [max(k, math.ceil(math.log2(s))) for k, s in zip(least, span)]
 
     def work(powers: Sequence[int]) -> float:
-        entries, cells = [float(r["rows"]) for r in sides], 1.0
+        entries, cells = [float(min(r["rows"], r["boxes"])) for r in sides], 1.0
         for i, k in enumerate(powers):
             size = 2.0**k
             entries = [e * (1 + m / size) for e, m in zip(entries, mean[i])]
@@ -112,7 +116,13 @@ def grid_join(a: DataFrame, b: DataFrame, dims: Sequence[int] = (0, 1), grid: Se
     n = len(grid) + len(set(grid) & set(within))
     left, right = _prefixed(a, "a_"), _prefixed(b, "b_")
     x, y = _axes(left, "a_", grid, within, True), _axes(right, "b_", grid, within, False)
-    sides = [profile(x, "a_", n), profile(y, "b_", n)]
+    sides = [profile(x, "a_", n, dims), profile(y, "b_", n, dims)]
+    # extra conditions may use other columns than the box, so that boxes can't stand for records
+    whole = [left if extra is None and r["rows"] >= REPEATS * r["boxes"] > 0 else None for r, left in zip(sides, (left, right))]
+    if whole[0] is not None:
+        x = _axes(left.select(*Box(dims, "a_").columns()).distinct(), "a_", grid, within, True)
+    if whole[1] is not None:
+        y = _axes(right.select(*Box(dims, "b_").columns()).distinct(), "b_", grid, within, False)
     powers = [math.ceil(math.log2(c)) for c in cell] if cell is not None else cell_powers(sides, n)
     levels = sorted({max(0, *(e[f"e{i}"] - k - SPAN_POWER for i, k in enumerate(powers))) for r in sides for e in r["exponents"]}) or [0]
     x = _entered(x, "a_", powers, levels)
@@ -128,7 +138,12 @@ def grid_join(a: DataFrame, b: DataFrame, dims: Sequence[int] = (0, 1), grid: Se
         same.append(F.col("_lv") == F.col("_lv2"))
         met = met & (F.greatest("a__own", "b__own") == F.col("_lv"))
     first = every([F.floor(F.greatest(f"a__g{i}l", f"b__g{i}l") / _size(k, levels)) == F.col(f"_c{i}") for i, k in enumerate(powers)])
-    return x.join(y, every(same) & met & first).select(*left.columns, *right.columns)
+    out = x.join(y, every(same) & met & first)
+    for side, prefix in zip(whole, ("a_", "b_")):
+        if side is not None:
+            names = Box(dims, prefix).columns()
+            out = out.withColumnsRenamed({c: f"_{c}" for c in names}).join(side, [F.col(f"_{c}") == F.col(c) for c in names])
+    return out.select(*left.columns, *right.columns)
 
 
 def theta_join(a: DataFrame, b: DataFrame, on: Callable[[], Column]) -> DataFrame:

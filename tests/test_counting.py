@@ -64,3 +64,15 @@ def test_within(spark, monkeypatch, within, span):
     got = [(r.a_rid, r.b_rid) for r in grid_join(frame(spark, a), frame(spark, b), within=within).collect()]
     want = {(i, j) for i, x in enumerate(a, 1) for j, y in enumerate(b, 1) if meets(x, y) and all(y[d][0] <= x[d][0] and x[d][1] <= y[d][1] for d in within)}
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+@pytest.mark.parametrize("repeats", [0.5, 2.0])
+def test_repeated_boxes(spark, monkeypatch, repeats):
+    monkeypatch.setattr(joins, "REPEATS", repeats)
+    a, b = random_boxes(41, 40) * 4, random_boxes(42, 30) + random_boxes(42, 3) * 20
+    data, other = frame(spark, a), frame(spark, b).withColumnRenamed("rid", "x9")
+    got = [(r.a_rid, r.b_x9) for r in grid_join(data, other).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, x in enumerate(a, 1) for j, y in enumerate(b, 1) if meets(x, y)}
+    inside = [(r.a_rid, r.b_x9) for r in grid_join(data, other, within=[1]).collect()]
+    assert set(inside) == {(i, j) for i, j in got if b[j - 1][1][0] <= a[i - 1][1][0] and a[i - 1][1][1] <= b[j - 1][1][1]} and len(inside) == len(set(inside))
+    assert grid_join(data.limit(0), other).count() == 0 and grid_join(data, other.limit(0)).count() == 0
