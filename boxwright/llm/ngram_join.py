@@ -3,14 +3,15 @@
 1. Each text's set of distinct 5-word shingles gets a 128-bit key; texts of equal sets form one node, so
    copies are counted, never paired. A node's MinHash has ``bands x rows`` values, chosen for the target
    recall at the threshold (``choose_bands``).
-2. Band hashes are shuffled. A bucket links its nodes to its smallest node only: a line of candidate
-   edges, not all pairs. Their connected components hold every pair that shares a band.
-3. Components are verified whole, on the full sets: up to ``cell`` nodes by one task, larger ones dealt
-   into a triangle of cells of two parts each, so no task takes more than ``2 * cell`` nodes. Intersections
-   are counted by matrix products over the shingles that at least two nodes have.
-4. Verified links give each node its number of links and, by components again, its class.
-
-Texts move once, to be joined with the nodes to verify. Exact counts of links between n different near
+2. Band hashes are shuffled. A bucket's smallest node is its hub, and a unit is a hub with all nodes of its buckets:
+   nodes that share a band are in a unit together, and near copies, whose hubs are mostly the same, in few units.
+   Chains of candidates don't make larger units, so texts that only share a page template meet few others.
+3. Units are verified on the full sets: up to ``cell`` nodes by one task, larger ones dealt into a triangle of
+   cells of two parts each, so no task takes more than ``2 * cell`` nodes. Intersections are counted by matrix
+   products over the shingles that at least two nodes have. A pair that is in several units counts in that of its smallest hub.
+4. Verified links give each node its number of links and, by components of the links, its class.
+
+Texts move once, to be joined with the nodes to verify, and then to their units. Exact counts of links between n different near
 texts take n^2 / 2 comparisons, spread over the cells; pairs are never materialised.
 
 Defined results: words are unchanged; a text of fewer than five words is one shingle of all of them, so
@@ -113,18 +114,16 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float, words: int):
-    """Of one cell: each node's linked documents and different texts, and a forest of its links."""
+    """Of one cell: each linked node's number of linked documents and of different texts, without those that an earlier unit counts, and a forest of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, "unit"):
+        for t in cells_of(batches):
             nodes = t.column("node").to_pylist()
-            _, pick = np.unique(np.array([int.from_bytes(x, "big") for x in nodes], dtype=object), return_index=True)
-            pick = sorted(pick.tolist(), key=lambda i: nodes[i])  # a node that came twice counts once
-            t = t.take(pa.array(pick))
-            nodes = [nodes[i] for i in pick]
-            texts = column(t)
+            order = sorted(range(len(nodes)), key=nodes.__getitem__)
+            t = t.take(pa.array(order))
+            nodes = [nodes[i] for i in order]
             sets = []
-            for _, part in slices(texts):
+            for _, part in slices(column(t)):
                 s = Shingles(Words(part), words)
                 sets += [s.values[a:b] for a, b in zip(s.bounds, s.bounds[1:])]
             size = np.array([len(s) for s in sets], np.float32)
@@ -134,28 +133,49 @@ def _verify(threshold: float, words: int):
             part, i, j = (np.array(t.column(c).to_pylist()) for c in ("part", "i", "j"))
             if i[0] != j[0]:  # two different parts: the pairs inside each are another cell's
                 linked &= part[:, None] != part[None, :]
+            if not linked.any():
+                continue
+            hub = t.column("hub")[0].as_py()
+            earlier = [[h for h in hubs if h < hub] for hubs in t.column("hubs").to_pylist()]
+            place = {h: k for k, h in enumerate(sorted({h for hubs in earlier for h in hubs}))}
+            counted = linked
+            if place:  # pairs with an earlier unit in common count there
+                shared = np.zeros((len(nodes), len(place)), np.float32)
+                for k, hubs in enumerate(earlier):
+                    shared[k, [place[h] for h in hubs]] = 1
+                counted = linked & (shared @ shared.T == 0)
             members = np.array(t.column("members").to_pylist(), np.int64)
-            root = list(range(len(nodes)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for x, y in zip(*np.nonzero(np.triu(linked))):
-                p, q = find(int(x)), find(int(y))
-                root[max(p, q)] = min(p, q)
-            found = [find(x) for x in range(len(nodes))]
+            root = np.arange(len(nodes))
+            u, v = np.nonzero(linked)
+            while True:  # the smallest node reached, by hooking and jumping
+                low = root.copy()
+                np.minimum.at(low, u, root[v])
+                low = low[low]
+                if (low == root).all():
+                    break
+                root = low
+            some = np.flatnonzero(linked.any(1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array([nodes[r] for r in found], pa.binary()), pa.array(linked.astype(np.int64) @ members, pa.int64()), pa.array(linked.sum(1), pa.int64()), pa.array(t.column("parts").combine_chunks(), pa.int32())],
-                ["node", "root", "docs", "texts", "parts"],
+                [pa.array([nodes[k] for k in some], pa.binary()), pa.array([nodes[r] for r in root[some]], pa.binary()), pa.array((counted.astype(np.int64) @ members)[some], pa.int64()), pa.array(counted.sum(1)[some], pa.int64())],
+                ["node", "root", "docs", "texts"],
             )
         release()
 
     return run
 
 
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One cell at a time, also where two share a hash; a node that came twice is there once."""
+    for t in groups(batches, "unit"):
+        ids = list(zip(*(t.column(c).to_pylist() for c in ("hub", "i", "j", "node"))))
+        pick: dict = {}
+        for k, x in enumerate(ids):
+            pick.setdefault(x[:3], {}).setdefault(x[3], k)
+        for cell in pick.values():
+            if len(cell) > 1:
+                yield t.take(pa.array(list(cell.values())))
+
+
 def ngram_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, cell: int = 512) -> DataFrame:
     """A row per document: doc_id, class_id (smallest doc_id linked with it, over any number of links),
     copy_id (smallest doc_id of the same shingle set), n_links (other documents at the threshold or above,
@@ -167,23 +187,19 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
     nodes = saved(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("_t", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_t"), F.count("*").alias("members"), F.first("bands").alias("bands")))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last").select("key", "hub")
-    edges = keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    coarse = saved(components(edges))
-    sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-    placed = coarse.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cells = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", "parts", "part", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"))
-    wanted = nodes.select("node", "rep", "_t", "members").join(placed.select("node"), "node").withColumnsRenamed({"_t": "_nt"})
+    units = saved(keyed.join(hubs, "key").select("node", "hub").distinct())  # a hub is in its own unit
+    sizes = units.groupBy("hub").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
+    per_node = units.join(sizes, "hub").groupBy("node").agg(F.collect_list(F.struct("hub", "parts")).alias("_units"))  # as many as bands at most
+    wanted = nodes.select("node", "rep", "_t", "members").join(per_node, "node").withColumnsRenamed({"_t": "_nt"})
     text = F.coalesce("text", F.lit(""))
     rows_ = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_t"))
-    texts = rows_.join(wanted, (F.col("_t") == F.col("_nt")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "members", "text")
-    units = texts.join(cells, "node").withColumn("unit", F.xxhash64("root", "i", "j"))
-    n = partitions(spark)
-    checked = units.select("unit", "node", "members", "parts", "part", "i", "j", "text").repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_verify(threshold, words), "node binary, root binary, docs long, texts long, parts int")
-    checked = saved(checked)
+    texts = rows_.join(wanted, (F.col("_t") == F.col("_nt")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "members", "text", F.transform("_units", lambda x: x["hub"]).alias("hubs"), F.inline("_units"))
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).withColumn("unit", F.xxhash64("hub", "i", "j"))
+    ready = cells.select("unit", "hub", "node", "members", "hubs", "part", "i", "j", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+    checked = saved(ready.mapInArrow(_verify(threshold, words), "node binary, root binary, docs long, texts long"))
     counts = checked.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    whole = checked.where("parts = 1").select("node", "root")
-    split = checked.where("parts > 1 AND node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = whole.unionByName(components(split))
+    roots = components(checked.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = nodes.select("node", "rep", "_t", "members").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     last = F.lit((1 << 63) - 1)
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.min_by("node", F.coalesce("rep", last)).alias("_keeper"))
