@@ -1,8 +1,9 @@
 """Mixing sources to target weights: blocks, multinomial draws per shard, index permutations, one join.
 
 1. Pack: the words of a source, its documents in a fixed pseudorandom order, are one long row cut into
-   blocks of ``block`` words. A document's place in the row is a prefix sum: totals per (source, bucket of
-   documents) are summed first, then places within a bucket, so no window holds a whole source.
+   blocks of ``block`` words. Equal rows (source, doc_id and text) are one entry with a number of copies, which lie side by
+   side. An entry's place in the row is a prefix sum: totals per (source, bucket of entries) are summed
+   first, then places within a bucket, so no window holds a whole source. Texts are read once for their sizes.
 2. Targets: sources weigh ``weights`` in turn, by code point, null last, and share ``share`` times all
    words; a target stops at ``cap`` times its source's size and the excess is shared again by weight.
 3. Draw: each output shard takes its slots from the sources by a multinomial over what they still owe, so
@@ -12,12 +13,12 @@
 5. Slots join blocks by (source, index).
 
 The driver holds a row per source and the table of shards x sources; everything else is distributed. The
-draws depend on ``seed`` and on the data alone, so reruns agree.
+draws depend on ``seed`` and on the rows alone, not on files or partitions, so reruns agree.
 
 Defined results: null and empty texts have no words and are never taken; null sources are one source;
-sources without words get the target 0; rows that repeat a doc_id and a
-text lie in the row each for itself, and each shows what is taken of all of them together; an empty table gives
-an empty table; columns other than those named aren't carried.
+sources without words get the target 0; copies of a row share what is taken of them
+evenly, the first ones a word more, so each gives at most ``cap`` times its size; an empty table gives an empty table; columns
+other than those named aren't carried.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import scan_bytes
+from .spark_util import saved
 from .text import U64, Words, column, mix, release, slices
 
 BLOCK, SHARDS = 128, 64
-RUN = 65_536  # slots of one row of the draw table, and of one batch
+RUN = 65_536  # slots of one row of the draw table, and of one batch; entries of a bucket
+STEP = 4096  # numbers of one array of ``_counted``
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -103,9 +105,11 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shards: int = SHARDS, seed: int = 17):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
-        buckets = 64 + scan_bytes(docs) // (16 << 20)  # a source's window over them has a row each
-        self.rows = sizes(docs).withColumn("_c", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(buckets)))
-        part = self.rows.groupBy("source", "_c").agg(F.sum("size").alias("_n"))
+        entries = sizes(docs).groupBy("source", "doc_id", "_h", "size").agg(F.count("*").alias("copies"))
+        self.rows = saved(entries.withColumn("words", F.col("size") * F.col("copies")))
+        buckets = 64 + self.rows.count() // RUN  # a source's window over them has a row each
+        rows = self.rows.withColumn("_c", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(buckets)))
+        part = rows.groupBy("source", "_c").agg(F.sum("words").alias("_n"))
         self.totals = {r["source"]: int(r["n"]) for r in part.groupBy("source").agg(F.sum("_n").alias("n")).collect()}
         self.targets = targets(self.totals, weights, share, cap)
         self.names = [s for s in self.targets if self.totals[s] > 0]
@@ -114,18 +118,18 @@ class Mix:
         self.table = draws(slots, shards, seed) if self.names else np.zeros((0, 0), np.int64)
         self.blocks = blocks
         before = part.select("source", "_c", (F.sum("_n").over(_window("source", "_c")) - F.col("_n")).alias("_before"))
-        inside = F.sum("size").over(_window(["source", "_c"], ["_h", "doc_id", "size"], rows=True)) - F.col("size")
+        inside = F.sum("words").over(_window(["source", "_c"], ["_h", "doc_id", "size"], rows=True)) - F.col("words")
         same = (F.col("l.source").eqNullSafe(F.col("r.source"))) & (F.col("l._c") == F.col("r._c"))
-        placed = self.rows.withColumn("_in", inside).alias("l").join(before.alias("r"), same)
-        self.placed = placed.select("l.doc_id", "l.source", "l._h", "l.size", (F.col("_before") + F.col("_in")).alias("start"))
+        placed = rows.withColumn("_in", inside).alias("l").join(before.alias("r"), same)
+        self.placed = placed.select("l.doc_id", "l.source", "l._h", "l.size", "l.words", (F.col("_before") + F.col("_in")).alias("start"))
 
     def segments(self) -> DataFrame:
-        """doc_id, source, _h, block, from_word, n_words: the part of each document that lies in a block."""
+        """doc_id, source, _h, size, block, from_word, n_words: the part of each entry that lies in a block, counted over all its copies in a row."""
         b = self.block
-        rows = self.placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
+        rows = _counted(self.placed.where("size > 0"), f"start div {b}", f"(start + words - 1) div {b}", "block")
         first = F.greatest(F.col("start"), F.col("block") * b)
-        last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
-        return rows.select("doc_id", "source", "_h", "block", (first - F.col("start")).alias("from_word"), (last - first).alias("n_words"))
+        last = F.least(F.col("start") + F.col("words"), (F.col("block") + 1) * b)
+        return rows.select("doc_id", "source", "_h", "size", "block", (first - F.col("start")).alias("from_word"), (last - first).alias("n_words"))
 
     def slots(self) -> DataFrame:
         """shard, slot, source, block, epoch: a row for each drawn block."""
@@ -162,6 +166,12 @@ class Mix:
         return self.slots().alias("s").hint("merge").join(self.segments().alias("d"), same).select("shard", "slot", "epoch", "d.*")
 
 
+def _counted(rows: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """A row for each number of a range, in steps, so that no row holds a long array."""
+    steps = rows.withColumn("_s", F.explode(F.expr(f"sequence({first}, {last}, {STEP}L)")))
+    return steps.withColumn(name, F.explode(F.expr(f"sequence(_s, least(_s + {STEP - 1}, {last}))"))).drop("_s")
+
+
 def _window(keys, order, rows: bool = False):
     from pyspark.sql import Window
 
@@ -172,13 +182,13 @@ def _window(keys, order, rows: bool = False):
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents' rows after mixing: a row for each pass over the sources in which parts of a document
     were drawn, with ``text`` the drawn words of that pass in order, joined by one space. Other columns of
-    the document are kept, n_chars (if any) follows the text; what no slot drew is left out. Rows that repeat a
-    doc_id and a text give one row a pass, with the words drawn of all of them."""
+    the document are kept, n_chars (if any) follows the text; what no slot drew is left out. Copies of a
+    row (source, doc_id and text) give one row a pass, with the words drawn of all of them."""
     plan = Mix(docs, **options)
-    spans = plan.drawn().groupBy("doc_id", "_h", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"))
+    spans = plan.drawn().groupBy("doc_id", "_h", "source", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_spans"))
     names = list(docs.columns)
     key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("_h", key).alias("t").hint("merge").join(spans.withColumnRenamed("doc_id", "_d").alias("s"), (F.col("t._h") == F.col("s._h")) & F.col("t.doc_id").eqNullSafe(F.col("s._d")))
+    rows = docs.withColumn("_h", key).alias("t").hint("merge").join(spans.withColumnsRenamed({"doc_id": "_d", "source": "_o", "size": "_z"}).alias("s"), (F.col("t._h") == F.col("s._h")) & F.col("t.doc_id").eqNullSafe(F.col("s._d")) & F.col("t.source").eqNullSafe(F.col("s._o")))
     wanted = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted)
 
@@ -186,9 +196,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         key, passes = None, set()
         for b in batches:
             texts, chars, first_of = [], [], []
-            for h, doc, epoch in zip(*(b.column(c).to_pylist() for c in ("__h", "__d", "__e"))):
-                if (h, doc) != key:  # the merge join brings the rows of a document together
-                    key, passes = (h, doc), set()
+            for *own, epoch in zip(*(b.column(c).to_pylist() for c in ("__h", "__d", "__o", "__e"))):
+                if own != key:  # the merge join brings the rows of a document together
+                    key, passes = own, set()
                 first_of.append(epoch not in passes)
                 passes.add(epoch)
             b = b.filter(pa.array(first_of, pa.bool_()))
@@ -198,24 +208,35 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
                 data = w.bytes.tobytes()
                 for i in range(len(part)):
                     at, out = int(w.bounds[i]), []
+                    size = int(w.bounds[i + 1]) - at
                     for s in spans[first + i]:
-                        a, z = at + s["from_word"], at + s["from_word"] + s["n_words"]
-                        out += [data[p:q] for p, q in zip(w.starts[a:z].tolist(), w.ends[a:z].tolist())]
+                        a, left = s["from_word"] % size, s["n_words"]
+                        while left > 0:  # from one copy on to the next
+                            z = min(size, a + left)
+                            out += [data[p:q] for p, q in zip(w.starts[at + a : at + z].tolist(), w.ends[at + a : at + z].tolist())]
+                            a, left = 0, left - (z - a)
                     texts.append(b" ".join(out).decode())
                     chars.append(len(texts[-1]))
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(chars, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[n].cast(b.schema.field(n).type) if n in new else b.column(n) for n in names], names)
         release()
 
-    return rows.select(*[f"t.{n}" for n in names], F.col("s._h").alias("__h"), F.col("s._d").alias("__d"), F.col("s.epoch").alias("__e"), F.col("s._spans").alias("__s")).mapInArrow(run, schema)
+    return rows.select(*[f"t.{n}" for n in names], F.col("s._h").alias("__h"), F.col("s._d").alias("__d"), F.col("s._o").alias("__o"), F.col("s.epoch").alias("__e"), F.col("s._spans").alias("__s")).mapInArrow(run, schema)
+
+
+def taken(plan: Mix) -> DataFrame:
+    """doc_id, source, size, taken: a row for each input row, with the words that the mix takes of it, repeats counted."""
+    drawn = plan.drawn().groupBy("doc_id", "_h", "source").agg(F.sum("n_words").alias("_taken")).withColumnsRenamed({"doc_id": "_d", "_h": "_g", "source": "_o"})
+    same = (F.col("d._h") == F.col("_g")) & F.col("d.doc_id").eqNullSafe(F.col("_d")) & F.col("d.source").eqNullSafe(F.col("_o"))
+    each = plan.rows.alias("d").hint("merge").join(drawn, same, "left").select("doc_id", "source", "size", "copies", F.coalesce("_taken", F.lit(0)).alias("_taken"))
+    rows = _counted(each, "0L", "copies - 1", "_i")
+    share = F.expr("_taken div copies") + F.when(F.col("_i") < F.col("_taken") % F.col("copies"), 1).otherwise(0)
+    return rows.select("doc_id", "source", "size", share.cast("long").alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     plan = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    taken = plan.drawn().groupBy("doc_id", "_h").agg(F.sum("n_words").alias("taken"))
-    rows = plan.rows.alias("d").hint("merge").join(taken.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}), (F.col("d._h") == F.col("_g")) & F.col("d.doc_id").eqNullSafe(F.col("_d")), "left")
-    size, target = F.lit(None).cast("long"), F.lit(None).cast("double")
     known = [(s, n, plan.targets[s]) for s, n in plan.totals.items()]
     per = spark.createDataFrame(known, "_s string, source_size long, target double") if known else spark.createDataFrame([], "_s string, source_size long, target double")
-    joined = rows.join(per, F.col("d.source").eqNullSafe(F.col("_s")))  # a row per source, of known size: Catalyst sends it to all tasks if it is small
-    return joined.select("d.doc_id", "d.size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    joined = taken(plan).alias("d").join(per, F.col("d.source").eqNullSafe(F.col("_s")))  # a row per source, of known size: Catalyst sends it to all tasks if it is small
+    return joined.select("d.doc_id", "d.size", "source_size", "target", "taken")

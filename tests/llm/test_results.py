@@ -317,6 +317,33 @@ def test_mixing_repeated_rows(spark, docs, rows):
     assert total == pytest.approx(1.5 * sum(plan.totals.values()), rel=0.02)
 
 
+@pytest.mark.parametrize("step", [3, 4096])
+def test_op7_copies_nulls_and_codecs(spark, docs, rows, tmp_path, monkeypatch, step):
+    monkeypatch.setattr(mixing, "STEP", step)
+    extra = [(5, "a b c d e f g", "en", None, 0)] * 3 + [(None, "x y z", "en", "web", 0), (9000, None, "en", "web", 0), (9001, "", "en", None, 0)]
+    table = spark.createDataFrame([*rows, *[rows[3]] * 9, *extra], DOCS)
+    got = []
+    for codec, parts in (("zstd", 1), ("uncompressed", 5)):
+        path = f"{tmp_path}/{codec}"
+        table.repartition(parts).write.option("compression", codec).parquet(f"{path}/documents.parquet")
+        got.append(sorted((tuple(r) for r in mixing.op7_mixing(spark, path).collect()), key=str))
+    assert got[0] == got[1]  # files and partitions don't enter
+    found = mixing.op7_mixing(spark, f"{tmp_path}/zstd").collect()
+    size = {}
+    for doc, text, _, source, *_ in [*rows, *[rows[3]] * 9, *extra]:
+        size.setdefault(source, []).append(len(WORD.findall(text or "")))
+    goal = mixing.targets({s: sum(n) for s, n in size.items()})
+    assert sorted((r["size"], r["source_size"]) for r in found) == sorted((n, sum(own)) for own in size.values() for n in own)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    assert {(r["source_size"], r["target"]) for r in found} == {(sum(n), goal[s]) for s, n in size.items()}
+    for s, own in size.items():
+        taken = sum(r["taken"] for r in found if r["source_size"] == sum(own) and r["target"] == goal[s])
+        assert abs(taken - goal[s]) <= 2 * mixing.BLOCK or len([1 for n in size.values() if sum(n) == sum(own)]) > 1
+    assert len(found) == table.count() and any(r["taken"] for r in found)
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert mixing.op7_mixing(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_targets():
     got = mixing.targets({"b": 100, "a": 100, None: 100})
     assert got == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
