@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import saved
+from .spark_util import drop, saved
 
 
 def _open(edges: DataFrame) -> int:
@@ -30,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = now.join(targets, F.col("v") == F.col("_p"), "left").select("u", F.coalesce("_m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("_m"))  # a node has as many targets as buckets at most
         small = large.join(low, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-        now = saved(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
+        last, now = now, saved(small.unionByName(low.select("u", F.col("_m").alias("v"))).distinct())
+        drop(last)
+        drop(targets)
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

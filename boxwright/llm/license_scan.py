@@ -8,10 +8,12 @@ template has similarity h / (k + t - h) at least. ``bands_for`` sets the number
 such a window collides with its template in at least one band with probability ``recall``. A collision is verified: the share of the template's
 shingles that the window has must reach ``threshold``.
 
-A window that shares no shingle with any template cannot have an equal MinHash value, so windows without
-a template shingle are left out before the MinHash values are computed: the result is the same, only most
-windows need no values. The templates (a parameter, some hundreds of shingles) are held in the plan and in
-one local table whose rows are templates x bands; Catalyst knows its size and broadcasts it while small.
+The band index is kept by the shingle that gives a template its value: a window has that value in a band only if
+it holds that shingle and no shingle of a lower hash. So one pass over a text's shingles looks each of them up
+among these winners; the MinHash values of the bands are computed for the windows that hold one, as
+no other can collide (``indexed=False`` computes them for all windows, with the same result). The
+templates (a parameter, some hundreds of shingles) are held in the plan and in one local table whose rows are
+templates x bands; Catalyst knows its size and broadcasts it while small.
 
 One shuffle, of a row per document and collision.
 
@@ -91,28 +93,56 @@ def _library(spark: SparkSession, templates: Mapping[str, str], threshold: float
     return out
 
 
-def _windows(k: int, bands: int, known: list[int]) -> Column:
-    """The windows of k shingles of ``_s`` that hold a known shingle, with their number of bands."""
+def winners(shingles: list[int], values: list[int], hashed: dict[tuple[int, int], int]) -> set[int]:
+    """The shingles that give a template its MinHash values."""
+    return {x for i, v in enumerate(values) for x in shingles if hashed[x, i] == v}
+
+
+def _hashed(spark: SparkSession, library: dict[int, tuple[int, list]]) -> dict[tuple[int, int], int]:
+    """The hash of each template shingle in each band."""
+    bands = max(b for b, _ in library.values())
+    known = sorted({x for _, found in library.values() for _, s, _ in found for x in s})
+    rows = spark.createDataFrame([(x,) for x in known], "x long").select("x", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64("x", i)).alias("h")).collect()
+    return {(r["x"], i): h for r in rows for i, h in enumerate(r["h"])}
+
+
+def _among(places: str, own: list[int]) -> Column:
+    return F.filter(places, lambda i: F.get(F.col("_s"), i).isin(own))
+
+
+def _windows(k: int, bands: int, won: Column | None) -> Column:
+    """The windows of k shingles of ``_s``, with their number of bands; won: places of shingles that a window must hold one of."""
     step, shingles = k // 2, F.col("_s")
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0))), lambda i: F.coalesce(F.get(shingles, i).isin(known), F.lit(False)))
-    number = lambda i: F.floor(i / step).cast("int")  # noqa: E731  a shingle lies in the window of its step and in the one before
-    starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(number(i) * step, F.greatest(number(i) - 1, F.lit(0)) * step))))
+    if won is None:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(step))
+    else:
+        number = lambda i: F.floor(i / step).cast("int")  # noqa: E731  a shingle lies in the window of its step and in the one before
+        starts = F.array_distinct(F.flatten(F.transform(won, lambda i: F.array(number(i) * step, F.greatest(number(i) - 1, F.lit(0)) * step))))
     return F.transform(starts, lambda p: F.struct(F.lit(k).alias("k"), F.lit(bands).alias("b"), F.slice(shingles, p + 1, k).alias("w")))
 
 
-def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, recall: float = 0.9999, indexed: bool = True) -> DataFrame:
     """doc_id, _t (text hash), license, containment: a row per verified collision, and one with nulls for a document without any."""
     spark = docs.sparkSession
     library = _library(spark, templates, threshold, recall)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), words(text).alias("_w")).select("doc_id", "_t", _shingles(F.col("_w")).alias("_s"))
+    if not library:
+        return rows.select("doc_id", "_t", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("containment"))
     parts = []
     bands_rows = []
+    won: dict[int, set[int]] = {}
+    hashed = _hashed(spark, library) if indexed else {}
     for k, (bands, found) in library.items():
-        parts.append(_windows(k, bands, sorted({x for _, s, _ in found for x in s})))
         bands_rows += [(k, i, v, name, s) for name, s, m in found for i, v in enumerate(m)]
-    if not parts:
-        return rows.select("doc_id", "_t", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("containment"))
+        if indexed:
+            won[k] = set().union(*(winners(s, m, hashed) for _, s, m in found))
+    if indexed:  # one pass over all shingles; what it leaves is short
+        some = sorted(set().union(*won.values()))
+        shingles = F.col("_s")
+        rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0))), lambda i: F.coalesce(F.get(shingles, i).isin(some), F.lit(False))))
+    for k, (bands, _) in library.items():
+        parts.append(_windows(k, bands, _among("_at", sorted(won[k])) if indexed else None))
     table = spark.createDataFrame(bands_rows, "_k int, _i int, _v long, license string, _sh array<long>")
     each = rows.select("doc_id", "_t", F.explode_outer(F.concat(*parts)).alias("x")).select("doc_id", "_t", F.col("x.k").alias("k"), F.col("x.b").alias("b"), F.col("x.w").alias("w"))
     values = F.transform(F.sequence(F.lit(0), F.coalesce("b", F.lit(1)) - 1), lambda i: F.array_min(F.transform(F.col("w"), lambda x: F.xxhash64(x, i))))
@@ -122,9 +152,9 @@ def license_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, t
     return met.select("doc_id", "_t", F.when(share >= threshold, F.col("license")).alias("license"), F.when(share >= threshold, share).alias("containment"))
 
 
-def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, recall: float = 0.9999, indexed: bool = True) -> DataFrame:
     """A row per document: doc_id, n_licenses (long), licenses (names in order, joined by commas), containment (the best, null if none)."""
-    found = license_matches(docs, templates, threshold, recall)
+    found = license_matches(docs, templates, threshold, recall, indexed)
     one = found.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set("license")).alias("_l"), F.max("containment").alias("containment"))
     return one.select("doc_id", F.size("_l").cast("long").alias("n_licenses"), F.array_join("_l", ",").alias("licenses"), "containment")
 

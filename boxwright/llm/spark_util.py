@@ -57,6 +57,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes one saved table, when nothing will read it any more."""
+    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/") in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Deletes what this application has saved; for when its results have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
@@ -67,5 +76,7 @@ def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_boxwright_folder", None)
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = context._boxwright_folder = tempfile.mkdtemp(prefix="checkpoint-")
     return f"{folder.rstrip('/')}/boxwright/{context.applicationId}"

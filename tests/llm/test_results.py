@@ -430,6 +430,23 @@ def test_license_scan(spark):
 # URL filters
 
 
+def test_license_index_loses_no_collision(spark):
+    """The index by winning shingles gives what MinHash values of all windows give."""
+    rng = random.Random(16)
+    rows = []
+    for i in range(80):
+        w = " ".join(license_scan.TEMPLATES[n] for n in rng.sample(sorted(license_scan.TEMPLATES), i % 3)).split()
+        for _ in range(rng.randint(0, 3)):
+            if w:
+                w[rng.randrange(len(w))] = "changed"
+        at = rng.randint(0, len(w))
+        w[at:at] = [f"f{rng.randint(0, 50)}" for _ in range(rng.randint(0, 60))]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(tuple(r) for r in license_scan.license_matches(docs, indexed=x).where("license IS NOT NULL").distinct().collect()) for x in (True, False)]
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
 def test_license_bands_suit_the_threshold(spark):
     for k, (bands, found) in license_scan._library(spark, license_scan.TEMPLATES, 0.8, 0.9999).items():
         for _, shingles, _ in found:
