@@ -13,7 +13,7 @@ from boxwright.llm.bpe import bpe_decode, bpe_encode
 from boxwright.llm.line_dedup import line_dedup
 from boxwright.llm.mixing import mixed
 from boxwright.llm.ngram_join import ngram_dedup
-from boxwright.llm.spark_util import saved
+from boxwright.llm.spark_util import drop, saved
 from boxwright.llm.toxicity import toxicity_filter
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)  # nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
