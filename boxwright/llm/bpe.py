@@ -28,9 +28,10 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from .text import Words, column, release, slices
+from .text import Words, buffers, column, release, slices
 
 CACHE = 350_000
 INF = 1 << 62
@@ -207,6 +208,34 @@ class _Stretches(Words):
         self.starts, self.ends = starts, np.insert(ends, both + 1, self.ends[both])
 
 
+def _spaced(words: Iterable[str]) -> pa.Array:
+    """Words by id, each with the space that follows it."""
+    return pa.array([w + " " for w in words], pa.large_string())
+
+
+def _named(names: dict[int, str]) -> pa.Array:
+    return _spaced(names.get(i, "") for i in range(max(names) + 1))
+
+
+def _joined(ids: pa.Array, words: pa.Array) -> Iterator[bytes]:
+    """Each list of ids as words with spaces between (null: empty), in UTF-8."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    lengths = np.nan_to_num(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64)
+    data, at = buffers(words.take(ids.flatten()))
+    ends = at[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    return (data[a : max(a, b - 1)].tobytes() for a, b in zip(ends, ends[1:]))
+
+
+class Names:
+    """What decoding needs of a vocabulary."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = _named({i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec.get("added_tokens") or []})
+
+
 class Bpe:
     """One vocabulary: whole texts to ids, and ids to text."""
 
@@ -227,15 +256,15 @@ class Bpe:
         self.added = {x["content"]: x["id"] for x in added}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.texts = [str(i) for i in range(max(self.names) + 1)]
-        self.named = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.spaced_names, self.spaced_ids = _named(self.names), _spaced(self.texts)
         alphabet = _byte_alphabet()
         self.byte = np.array([self.vocab[c] for c in alphabet], np.int32)
         self.last = np.array([self.vocab[c + self.end] for c in alphabet], np.int32)
         self.library = Tokenizer.from_file(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.tokens: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, int]] = {}
+        self.tokens: dict[str, tuple[str, int]] = {}
 
     def cuts(self, text: str) -> list[str]:
         """Pre-tokens, in the byte alphabet, and special tokens of a stretch without ASCII white space."""
@@ -254,8 +283,8 @@ class Bpe:
         ids[-1] = self.vocab[piece[-1] + self.end]
         return ids
 
-    def _made(self, ids: list[int]) -> tuple[str, int, str]:
-        return " ".join([self.texts[i] for i in ids]), len(ids), " ".join([self.named[i] for i in ids])
+    def _made(self, ids: list[int]) -> tuple[str, int]:
+        return " ".join([self.texts[i] for i in ids]), len(ids)
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -268,7 +297,7 @@ class Bpe:
             if len(cache) >= (CACHE if most is None else most):
                 cache.clear()
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int]]:
         """The encodings of words that aren't in the cache. Those of ordinary length stay in it."""
         words = list(words)
         plain = [w for w in words if self._plain(w)]
@@ -297,37 +326,20 @@ class Bpe:
             if len(parts) == 1:
                 made = parts[0]
             elif parts:
-                made = (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+                made = (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]))
             else:
-                made = ("", 0, "")
+                made = ("", 0)
             (self.words if len(w) <= Merges.WIDE else out)[w] = made
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The vocabulary has no decoder, so tokens are joined by spaces, special ones included."""
-        return " ".join([self.names[i] for i in ids])
+    def decode(self, ids: pa.Array) -> Iterator[bytes]:
+        """The text of each list of ids (null: empty), in UTF-8. The vocabulary has no decoder, so tokens are joined by spaces, special ones included."""
+        return _joined(ids, self.spaced_names)
 
-    def digests(self, texts: pa.Array) -> Iterator[tuple[str, int, str]]:
+    def digests(self, texts: pa.Array) -> Iterator[tuple[bytes, int, bytes]]:
         """(ids with spaces between, their number, decoded text) of each whole text. Texts of a few MB in all."""
-        words = _Stretches(texts)
-        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        data = words.bytes.tobytes()
-        names = [data[i:j].decode() for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        self.trim()
-        rare = self.learn({w for w in names if w not in self.words})
-        found = [self.words.get(w) or rare[w] for w in names]
-        counts = np.array([x[1] for x in found] or [0], np.int64)
-        ids, back = np.empty(len(found), object), np.empty(len(found), object)
-        ids[:], back[:] = [x[0] for x in found], [x[2] for x in found]
-        n = counts[which] if len(which) else np.zeros(0, np.int64)
-        bounds = words.bounds
-        if len(n) and not n.all():  # white space that ASCII doesn't have gives no token
-            which, bounds = which[n > 0], np.concatenate([[0], np.cumsum(n > 0)])[bounds]
-        totals = np.concatenate([[0], np.cumsum(n)])[words.bounds]
-        ids, back = (ids[which], back[which]) if len(which) else (ids, back)
-        for i in range(len(texts)):
-            a, b = bounds[i], bounds[i + 1]
-            yield " ".join(ids[a:b].tolist()), int(totals[i + 1] - totals[i]), " ".join(back[a:b].tolist())
+        ids = self.encode(texts)
+        return zip(_joined(ids, self.spaced_ids), np.diff(ids.offsets.to_numpy()).tolist(), self.decode(ids))
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each whole text. Texts of a few MB in all."""
@@ -356,19 +368,22 @@ def worker_bpe(path: str) -> Bpe:
     return kept[path]
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text as an array<int> column; an input column of that name is replaced."""
+def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text as an array<int> column, and with ``back`` the text that they decode
+    to, in the same pass; input columns of those names are replaced."""
     path = path or default_vocabulary()
-    fields = [f for f in docs.schema.fields if f.name != out]
+    made = [out] if back is None else [out, back]
+    fields = [f for f in docs.schema.fields if f.name not in made]
     base = docs.select(*[f.name for f in fields])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` array<int>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{name}` {kind}" for name, kind in zip(made, ("array<int>", "string")))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for b in batches:
             for first, part in slices(column(b, text)):
-                own = b.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, bpe.encode(part)], [*b.schema.names, out])
+                own, ids = b.slice(first, len(part)), bpe.encode(part)
+                more = [ids] if back is None else [ids, pa.array([x.decode() for x in bpe.decode(ids)], pa.string())]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], [*b.schema.names, *made])
         bpe.trim(0)
         release()
 
@@ -383,11 +398,11 @@ def bpe_decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(path)
+        names = Names(path).words
         for b in batches:
-            for first in range(0, b.num_rows, 256):  # bounds the ids that are Python objects at once
+            for first in range(0, b.num_rows, 256):  # bounds what is decoded at once
                 own = b.slice(first, 256)
-                texts = pa.array([bpe.decode(x or []) for x in own.column(ids).to_pylist()], pa.string())
+                texts = pa.array([x.decode() for x in _joined(own.column(ids), names)], pa.string())
                 yield pa.RecordBatch.from_arrays([*own.columns, texts], [*b.schema.names, out])
         release()
 
@@ -405,8 +420,8 @@ def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             for _, part in slices(column(b)):
                 for x, m, y in bpe.digests(part):
                     n.append(m)
-                    ids.append(hashlib.sha256(x.encode()).hexdigest())
-                    back.append(hashlib.sha256(y.encode()).hexdigest())
+                    ids.append(hashlib.sha256(x).hexdigest())
+                    back.append(hashlib.sha256(y).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.trim(0)
         release()

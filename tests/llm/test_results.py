@@ -77,8 +77,8 @@ def test_bpe_equals_the_library(library):
     own = bpe.Bpe(bpe.default_vocabulary())
     for text, (ids, n, back), listed in zip(texts, own.digests(column), own.encode(column).to_pylist()):
         want = library.encode(text, add_special_tokens=False).ids
-        assert listed == want and ids == " ".join(map(str, want)) and n == len(want)
-        assert back == library.decode(want, skip_special_tokens=False)
+        assert listed == want and ids.decode() == " ".join(map(str, want)) and n == len(want)
+        assert back.decode() == library.decode(want, skip_special_tokens=False)
 
 
 def test_small_caches_change_nothing(library, monkeypatch):
@@ -519,6 +519,10 @@ def test_pipeline_runs(spark, library):
 
 
 def test_decode_equals_the_library(spark, library, docs, rows):
+    both = bpe.bpe_encode(docs, back="decoded")  # in one pass
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.bpe_decode(bpe.bpe_encode(docs)).collect()))
+    empty = spark.createDataFrame([(1, []), (2, None)], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.bpe_decode(empty).orderBy("doc_id").collect()] == ["", ""]
     got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.bpe_decode(bpe.bpe_encode(docs)).collect()}
     for doc, text, *_ in rows:
         ids = library.encode(text, add_special_tokens=False).ids
