@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxwright.llm.bpe import bpe_decode, bpe_encode
+from boxwright.llm.bpe import bpe_encode
 from boxwright.llm.line_dedup import line_dedup
 from boxwright.llm.mixing import mixed
 from boxwright.llm.ngram_join import ngram_dedup
@@ -42,8 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the token ids of each row, and the SHA-256 of the text that they decode to."""
-    encoded = bpe_encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return bpe_decode(encoded).select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe_encode(docs.select("doc_id", "source", "text"), back="decoded")
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
