@@ -23,6 +23,25 @@ def insert_unique(data: DataFrame, records: DataFrame, order: str, dims: Sequenc
     return data.unionByName(new.select(*data.columns))
 
 
+class Records:
+    """A table of records with a switch between bag and unique semantics (off at first), as tables are rewritten.
+
+    With the switch on, a new record is refused if its box is there already; records that were there before stay, equal ones too."""
+
+    def __init__(self, data: DataFrame, order: str = "rid", dims: Sequence[int] = (0, 1), unique: bool = False):
+        self.data, self.order, self.dims, self.unique = data, order, tuple(dims), unique
+
+    def set_unique(self, unique: bool = True) -> "Records":
+        return Records(self.data, self.order, self.dims, unique)
+
+    def insert(self, records: DataFrame) -> "Records":
+        data = insert_unique(self.data, records, self.order, self.dims) if self.unique else insert(self.data, records)
+        return Records(data, self.order, self.dims, self.unique)
+
+    def delete(self, requests: DataFrame, payload: Sequence[str] = ()) -> "Records":
+        return Records(delete(self.data, requests, self.order, self.dims, payload), self.order, self.dims, self.unique)
+
+
 def refused(data: DataFrame, records: DataFrame, order: str, payload: str, dims: Sequence[int] = (0, 1)) -> DataFrame:
     """The records that ``insert_unique`` refuses, with the stored record's payload as ``stored``."""
     names = Box(dims).columns()

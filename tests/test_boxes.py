@@ -314,6 +314,58 @@ def test_shapes():
     assert deadspace.union_area(low, high) == 7.0
 
 
+def test_least_corner_polygons():
+    """Against all choices of edges, with or without one free edge through any point of the boundary at any angle."""
+    import itertools
+
+    rng = np.random.default_rng(7)
+    for trial in range(25):
+        h = deadspace.hull(rng.random((int(rng.integers(6, 16)), 2)) * [1, 3])
+        n = len(h)
+        lines = [(h[i], h[(i + 1) % n] - h[i]) for i in range(n)]
+        for corners in (4, 5):
+            if n <= corners:
+                assert deadspace.corner_polygon_area(h, corners) == deadspace.polygon_area(h)
+                continue
+            got = deadspace.corner_polygon_area(h, corners)
+            assert deadspace.polygon_area(h) <= got * (1 + 1e-12)
+            tries = [list(c) for k in range(3, corners + 1) for c in itertools.combinations(lines, k)]
+            for v in range(n):  # supporting lines at the corners, at ten angles each
+                into, out = h[v] - h[v - 1], h[(v + 1) % n] - h[v]
+                free = [(h[v], into / np.hypot(*into) * (1 - f) + out / np.hypot(*out) * f) for f in np.linspace(0.05, 0.95, 10)]
+                if trial < 6:
+                    tries += [[*c, f] for c in itertools.combinations(lines, corners - 1) for f in free]
+            for some in tries:
+                some = sorted(some, key=lambda l: np.arctan2(l[1][1], l[1][0]))
+                at = []
+                for (a, d), (b, e) in zip(some, some[1:] + some[:1]):
+                    det = d[0] * e[1] - d[1] * e[0]
+                    if det <= 1e-12:
+                        break
+                    at.append(a + d * (((b - a)[0] * e[1] - (b - a)[1] * e[0]) / det))
+                else:
+                    assert got <= deadspace.polygon_area(np.array(at)) * (1 + 1e-9)
+
+
+def test_pixel_clips():
+    base, top = np.zeros(2), np.array([10.0, 10.0])
+    shares = deadspace.pixel_clipped(base, top, np.array([[0.0, 0.0], [0.0, 0.0]]), np.array([[5.0, 2.0], [2.0, 5.0]]), 10)
+    assert shares == [(0.1, 0.0), (0.16, 0.04)]
+    three = deadspace.pixel_clipped(np.zeros(3), np.full(3, 4.0), np.array([[0.0, 0, 0]]), np.array([[2.0, 2, 2]]), 4)
+    assert three == [(0.125, 0.0)]
+    low, high = np.array([[0.0, 0, 0], [2, 2, 2]]), np.array([[2.0, 2, 2], [4, 4, 4]])
+    assert deadspace.pixel_coverage(low, high, 4) == (0.25, 0.0)
+
+
+def test_set_unique(spark):
+    start = updates.Records(frame(spark, [((0, 1), (0, 1)), ((0, 1), (0, 1))]))
+    new = frame(spark, [((0, 1), (0, 1)), ((2, 3), (2, 3)), ((2, 3), (2, 3))]).withColumn("rid", F.col("rid") + 10)
+    assert sorted(r.rid for r in start.insert(new).data.collect()) == [1, 2, 11, 12, 13]
+    once = start.set_unique().insert(new)
+    assert sorted(r.rid for r in once.data.collect()) == [1, 2, 12]
+    assert sorted(r.rid for r in once.delete(new.limit(1)).set_unique(False).insert(new).data.collect()) == [2, 11, 12, 12, 13]
+
+
 def test_tree_utilisation(spark, monkeypatch):
     from boxwright.plans import catalogue
 
