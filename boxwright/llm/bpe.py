@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .text import Words, buffers, column, release, slices
 
-CACHE = 350_000
+CACHE = 120_000
 INF = 1 << 62
 
 
@@ -380,7 +380,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for b in batches:
-            for first, part in slices(column(b, text)):
+            for first, part in slices(column(b, text), 1 << 20):
                 own, ids = b.slice(first, len(part)), bpe.encode(part)
                 more = [ids] if back is None else [ids, pa.array([x.decode() for x in bpe.decode(ids)], pa.string())]
                 yield pa.RecordBatch.from_arrays([*own.columns, *more], [*b.schema.names, *made])
