@@ -62,7 +62,7 @@ def _term_hash(term: str) -> int:
     return int(word_features(pa.array([term], pa.large_string()))[2][0])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, positive: int, negative: int) -> list:
+def _sample(docs: DataFrame, labels: DataFrame, positive: int, negative: int) -> pa.Table:
     """(toxic, distinct features, identity hashes) of the bounded sample."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     key = F.xxhash64(F.lit(5), "doc_id")
@@ -81,7 +81,7 @@ def _sample(docs: DataFrame, labels: DataFrame, positive: int, negative: int) ->
                     named.append(np.intersect1d(whole[at[i] : at[i + 1]], known).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.binary()), pa.array(named, pa.binary())], ["toxic", "features", "named"])
 
-    return rows.mapInArrow(run, "toxic int, features binary, named binary").collect()  # at most positive + negative rows
+    return rows.mapInArrow(run, "toxic int, features binary, named binary").toArrow()  # at most positive + negative rows
 
 
 class Model:
@@ -103,11 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negati
     """A model from the labelled rows of ``docs``; labels: doc_id, toxic."""
     rows = _sample(docs, labels, max_positive, max_negative)
     size = 1 << LOG_FEATURES
-    if not rows:
+    if not rows.num_rows:
         return Model(np.zeros(size, np.float32), 0.0)
-    y = np.array([r["toxic"] for r in rows], float)
-    sets = [np.frombuffer(r["features"], "<i4") for r in rows]
-    names = [np.frombuffer(r["named"], "<u8").tolist() for r in rows]
+    y = rows.column("toxic").to_numpy().astype(float)
+    sets = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("features")]  # views, not copies
+    names = [np.frombuffer(x.as_buffer(), "<u8").tolist() for x in rows.column("named")]
     del rows
     pos, neg = np.zeros(size), np.zeros(size)
     for s, t in zip(sets, y):

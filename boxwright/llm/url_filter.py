@@ -10,7 +10,7 @@ Shuffles: page counts are partially aggregated by host before they move; only (p
 moved, never html. Rules are a parameter held in the plan as one CASE (meant for up to a few hundred).
 
 Defined results: a null url, or one without ``://``, has empty host and path and is judged by the
-root's prior; equal hosts get one verdict; repeated page ids each give a row, and labels of a repeated
+root's prior; user and port belong to the host but not to its domain and suffix, and an IP address is its own domain and suffix; equal hosts get one verdict; repeated page ids each give a row, and labels of a repeated
 page id are averaged to one; without any label every rate is the uniform prior's; empty tables give
 empty tables; other columns are not carried.
 """
@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import LOWER, UPPER
+from .spark_util import saved
 
 #: Suffixes of two labels; any other host's suffix is its last label. A parameter: pass your own list.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.in", "com.br", "com.cn", "com.mx", "co.za")
+#: User and port around a host's name, and hosts that are IP addresses.
+_AROUND, _ADDRESS = "^[^@]*@|:[0-9]*$", "^([0-9]+[.]){3}[0-9]+$|^[\\[]"
 #: (rule string, verdict): host, then the start of the path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -38,10 +41,13 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def domain_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
-    return domain, suffix
+    """(registered domain, suffix) of a host without its user and port; an IP address is both itself."""
+    bare = F.regexp_replace(host, _AROUND, "")
+    two = F.substring_index(bare, ".", -2)
+    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
+    address = bare.rlike(_ADDRESS)
+    return F.when(address, bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Column]:
@@ -73,7 +79,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[st
     known = named.join(one, "page_id").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
     hosts = named.select("host").distinct().join(known, "host", "left").na.fill(0.0, ["n", "k"])
     domain, suffix = domain_suffix(F.col("host"), suffixes)
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = saved(hosts.withColumns({"domain": domain, "suffix": suffix}))  # four steps read them
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = tops.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()  # one row
@@ -113,8 +119,9 @@ def _sql() -> str:
         name, slash, start = text.partition("/")
         fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}')"
         case, says = f"CASE WHEN {fits} THEN '{text}' ELSE {case} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
-    two = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.')"
-    three = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.')"
+    two = "array_to_string(list_slice(string_split(bare, '.'), greatest(len(string_split(bare, '.')) - 1, 1), len(string_split(bare, '.'))), '.')"
+    three = "array_to_string(list_slice(string_split(bare, '.'), greatest(len(string_split(bare, '.')) - 2, 1), len(string_split(bare, '.'))), '.')"
+    address = f"regexp_matches(bare, '{_ADDRESS}')"
     listed = ", ".join(f"'{x}'" for x in SUFFIXES)
 
     def size(level: str) -> str:
@@ -135,8 +142,9 @@ WITH cut AS (
 ), hosts AS (
   SELECT h.host, coalesce(n, 0.0) AS n, coalesce(k, 0.0) AS k FROM (SELECT DISTINCT host FROM split) h LEFT JOIN known USING (host)
 ), placed AS (
-  SELECT host, n, k, CASE WHEN {two} IN ({listed}) THEN {three} ELSE {two} END AS domain,
-         CASE WHEN {two} IN ({listed}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix FROM hosts
+  SELECT host, n, k, CASE WHEN {address} THEN bare WHEN {two} IN ({listed}) THEN {three} ELSE {two} END AS domain,
+         CASE WHEN {address} THEN bare WHEN {two} IN ({listed}) THEN {two} ELSE string_split(bare, '.')[-1] END AS suffix
+  FROM (SELECT *, regexp_replace(host, '{_AROUND}', '', 'g') AS bare FROM hosts)
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM placed GROUP BY 1, 2),
 tops AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 root AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM tops),

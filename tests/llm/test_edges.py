@@ -12,7 +12,7 @@ from boxwright.llm.ngram_join import ngram_dedup, ngram_join
 from boxwright.llm.quality import quality_rules
 from boxwright.llm.substring_dedup import substring_dedup
 from boxwright.llm.toxicity import fit, score, toxicity_filter
-from boxwright.llm.url_filter import url_filter
+from boxwright.llm.url_filter import domain_suffix, url_filter
 
 CLASHES = ("n_lines", "n_dropped", "n_words", "n_removed", "ids", "score", "kept", "fingerprint", "class_id", "taken", "_score", "block", "epoch", "node", "license")
 
@@ -67,6 +67,17 @@ def test_url_filter_edges(spark):
     assert (4, "a.example.org", "", None, "allow") in rows and (5, "u@h.co.uk:80", "", None, "allow") in rows and (1, "", "", None, "allow") in rows
     assert url_filter(pages, none).count() == 7
     assert url_filter(pages.limit(0), none).count() == 0
+    more = url_filter(pages.withColumns({c: F.lit("own") for c in ("host", "path", "rule", "verdict", "n", "good")}), spark.createDataFrame([(1, 1.0), (1, 0.0), (4, None), (None, 1.0)], "page_id long, good double"))
+    assert more.columns == ["page_id", "host", "path", "rule", "verdict"] and more.count() == 7
+
+
+def test_domains_of_ports_and_addresses(spark):
+    hosts = ["a.b.com", "a.b.com:8080", "u:p@a.b.co.uk:1", "10.0.0.1", "10.0.0.1:80", "[::1]:443", "b", "", "h.org:"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *[c.alias(n) for c, n in zip(domain_suffix(F.col("host")), ("d", "s"))])
+    assert {r.host: (r.d, r.s) for r in rows.collect()} == {
+        "a.b.com": ("b.com", "com"), "a.b.com:8080": ("b.com", "com"), "u:p@a.b.co.uk:1": ("b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1",) * 2,
+        "10.0.0.1:80": ("10.0.0.1",) * 2, "[::1]:443": ("[::1]",) * 2, "b": ("b", "b"), "": ("", ""), "h.org:": ("h.org", "org"),
+    }
 
 
 @pytest.mark.parametrize("rows", ["hard", "empty"])
