@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.boxes import Box, any_box, contained, contains_point, encloses, equals, on_edge, overlap_volume, overlaps, volume
+from ..functions.boxes import Box, any_box, contained, contains_point, encloses, intersects, on_edge, overlap_volume, overlaps, volume
 from ..operators import clip, deadspace, generate, knn, select, stats, updates
 from ..operators.index import Index
 from ..operators.joins import grid_join, join_count, theta_join
@@ -72,8 +72,6 @@ def point_query(s, d):
 
 @query(f"WITH {LI} SELECT rid FROM li WHERE ({IN_WINDOW}) OR (x0_l <= 41 AND x0_h >= 40 AND x1_l <= 1010 AND x1_h >= 1000)")
 def multi_box_query(s, d):
-    from ..functions.boxes import intersects
-
     return li(s, d).where(any_box(intersects, Box(), [WINDOW, Box.of([(40, 41), (1000, 1010)])])).select("rid")
 
 
@@ -269,14 +267,13 @@ _browse("knn_center_inc", "cust", CUST, customers, _CENTER, "ASC", kind="center"
 _browse("knn_center_dec", "cust", CUST, customers, _CENTER, "DESC", kind="center", farthest=True)
 _browse("knn_max_inc", "cust", CUST, customers, _MAX, "ASC", kind="max")
 _browse("knn_max_dec", "cust", CUST, customers, _MAX, "DESC", kind="max", farthest=True)
+_browse("knn_manhattan", "cust", CUST, customers, "greatest(x0_l - 100, 100 - x0_h, 0) + greatest(x1_l - 50, 50 - x1_h, 0)", "ASC", metric="manhattan")
 _browse("distance_range", "ev", EV, events, _MIN, "ASC", f"{_MIN} >= 400 AND {_MIN} <= 2500", None, start=20.0, end=50.0)
 _browse("distance_range_dec", "ev", EV, events, _MIN, "DESC", f"{_MIN} <= 2500 AND {_MIN} >= 400", None, start=50.0, end=20.0, farthest=True)
 
 
 @query(f"WITH {EV} SELECT rid, {_MIN} AS dist FROM ev WHERE x0_l <= 200 AND x0_h >= 90 AND x1_l <= 80 AND x1_h >= 60 ORDER BY dist, rid LIMIT 50")
 def knn_clip_box(s, d):
-    from ..functions.boxes import intersects
-
     return knn.browse(events(s, d), [100, 50], where=intersects(Box(), Box.of([(90, 200), (60, 80)])), k=50).select("rid", "dist")
 
 
@@ -334,15 +331,18 @@ def densify(s, d):
 _CORNERS = " UNION ALL ".join(f"SELECT node_id, {c} AS corner, {'x0_h' if c & 1 else '-x0_l'} AS s0, {'x1_h' if c & 2 else '-x1_l'} AS s1 FROM nd" for c in range(4))
 SKY = f"""{ND}, pts AS (SELECT DISTINCT * FROM ({_CORNERS})),
 sky AS (SELECT * FROM pts a WHERE NOT EXISTS (SELECT 1 FROM pts b WHERE a.node_id = b.node_id AND a.corner = b.corner AND b.s0 >= a.s0 AND b.s1 >= a.s1 AND (b.s0 > a.s0 OR b.s1 > a.s1)))"""
-CLIPS = f"""{SKY}, vol AS (SELECT node_id, (max(x0_h) - min(x0_l)) * (max(x1_h) - min(x1_l)) AS v FROM nd GROUP BY node_id),
-tops AS (SELECT node_id, corner, max(s0) AS t0, max(s1) AS t1 FROM pts GROUP BY ALL),
-pair AS (SELECT DISTINCT a.node_id, a.corner, a.s0 AS s0, b.s1 AS s1, a.s1 AS a1, b.s0 AS b0 FROM sky a JOIN sky b ON a.node_id = b.node_id AND a.corner = b.corner AND a.s0 < b.s0),
+_TOPS = """vol AS (SELECT node_id, (max(x0_h) - min(x0_l)) * (max(x1_h) - min(x1_l)) AS v FROM nd GROUP BY node_id),
+tops AS (SELECT node_id, corner, max(s0) AS t0, max(s1) AS t1 FROM pts GROUP BY ALL)"""
+_STAIR = """pair AS (SELECT DISTINCT a.node_id, a.corner, a.s0 AS s0, b.s1 AS s1, a.s1 AS a1, b.s0 AS b0 FROM sky a JOIN sky b ON a.node_id = b.node_id AND a.corner = b.corner AND a.s0 < b.s0),
 stair AS (SELECT DISTINCT node_id, corner, s0, s1, size FROM (SELECT p.*, (t0 - s0) * (t1 - s1) AS size, v FROM pair p JOIN tops USING (node_id, corner) JOIN vol USING (node_id)) p
-  WHERE v > 0 AND size > 0.025 * v AND NOT EXISTS (SELECT 1 FROM sky k WHERE k.node_id = p.node_id AND k.corner = p.corner AND k.s0 >= p.s0 AND k.s1 >= p.s1 AND NOT (k.s0 = p.s0 AND k.s1 = p.a1) AND NOT (k.s0 = p.b0 AND k.s1 = p.s1))),
-best AS (SELECT node_id, corner, s0 AS z0, s1 AS z1 FROM (SELECT *, row_number() OVER (PARTITION BY node_id, corner ORDER BY size DESC, s0, s1) AS r FROM stair) WHERE r = 1),
+  WHERE v > 0 AND size > 0.025 * v AND NOT EXISTS (SELECT 1 FROM sky k WHERE k.node_id = p.node_id AND k.corner = p.corner AND k.s0 >= p.s0 AND k.s1 >= p.s1 AND NOT (k.s0 = p.s0 AND k.s1 = p.a1) AND NOT (k.s0 = p.b0 AND k.s1 = p.s1)))"""
+_SKYLINE = """stair AS (SELECT node_id, corner, s0, s1, size FROM (SELECT s.*, (t0 - s0) * (t1 - s1) AS size, v, count(*) OVER (PARTITION BY s.node_id, s.corner) AS n FROM sky s JOIN tops USING (node_id, corner) JOIN vol USING (node_id)) WHERE v > 0 AND n >= 3)"""
+_KEPT = """best AS (SELECT node_id, corner, s0 AS z0, s1 AS z1 FROM (SELECT *, row_number() OVER (PARTITION BY node_id, corner ORDER BY size DESC, s0, s1) AS r FROM stair) WHERE r = 1),
 scored AS (SELECT s.node_id, s.corner, s.s0, s.s1, CASE WHEN s0 = z0 AND s1 = z1 THEN size ELSE size - (t0 - greatest(s0, z0)) * (t1 - greatest(s1, z1)) END AS score, v FROM stair s JOIN best USING (node_id, corner) JOIN tops USING (node_id, corner) JOIN vol USING (node_id)),
 clips AS (SELECT node_id, corner, CASE WHEN corner & 1 > 0 THEN s0 ELSE 0 - s0 END AS p0, CASE WHEN corner & 2 > 0 THEN s1 ELSE 0 - s1 END AS p1, score FROM scored WHERE score > 0.025 * v),
 kept AS (SELECT node_id, corner, p0, p1, score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, corner, p0, p1) AS r FROM clips) WHERE r <= 4)"""
+CLIPS = f"{SKY}, {_TOPS}, {_STAIR}, {_KEPT}"
+SKYLINE_CLIPS = f"{SKY}, {_TOPS}, {_SKYLINE}, {_KEPT}"
 
 
 @query(f"WITH {SKY} SELECT * FROM sky")
@@ -355,6 +355,11 @@ def clip_points_topk(s, d):
     return clip.explode_clips(clip.build_clips(nodes(s, d)))
 
 
+@query(f"WITH {SKYLINE_CLIPS} SELECT node_id, corner, p0, p1, score FROM kept")
+def skyline_clip_points(s, d):
+    return clip.explode_clips(clip.build_clips(nodes(s, d), method="skyline"))
+
+
 @query(f"WITH {CLIPS} SELECT node_id, corner, p0, p1, score FROM clips")
 def stairline_points(s, d):
     return clip.explode_clips(clip.build_clips(nodes(s, d), k=1 << 30))
@@ -376,6 +381,14 @@ def check_consistency(s, d):
     return updates.inconsistent(index.nodes, index.leaves).agg(F.count("*").alias("n_bad"))
 
 
+@query(f"""WITH {ND} SELECT node_id, count(*) AS n, min(x0_l) AS x0_l, max(x0_h) + CASE WHEN node_id % 7 = 0 THEN 1 ELSE 0 END AS x0_h, min(x1_l) AS x1_l, max(x1_h) AS x1_h FROM nd GROUP BY node_id HAVING node_id % 7 = 0""")
+def inconsistent_nodes(s, d):
+    """Every seventh box of a catalogue is made too wide, and these must be found."""
+    entries = nodes(s, d)
+    stored = clip.entry_mbbs(entries).withColumn("x0_h", F.col("x0_h") + F.when(F.col("node_id") % 7 == 0, 1.0).otherwise(0.0))
+    return updates.inconsistent(stored, entries).select("node_id", "n", *Box().columns())
+
+
 @query(f"WITH {LI} SELECT count(*) AS n_records FROM li")
 def tree_description(s, d):
     return Index.build(li(s, d)).describe().select("n_records")
@@ -386,6 +399,17 @@ def tree_utilisation(s, d):
     return Index.build(li(s, d)).describe()
 
 
+@query()
+def level_stats(s, d):
+    return Index.build(li(s, d), height=3).describe_levels()
+
+
+@query()
+def level_lookup(s, d):
+    """The directory nodes of the second level that the window meets."""
+    return Index.build(li(s, d), height=2).level(2).where(intersects(Box(), WINDOW)).drop("clips")
+
+
 @query()
 def leaf_access_stats(s, d):
     index, q = Index.build(li(s, d)), pq(s, d)
@@ -484,6 +508,11 @@ def parcel_clusters(s, d):
     return generate.clusters(s, 8, 25)
 
 
+@query()
+def edge_clusters(s, d):
+    return generate.clusters(s, 8, 25, along=True)
+
+
 @query()
 def dithered(s, d):
     return generate.dither(li(s, d), 0.2, [1.0, 1.0])

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.knn import ranked_globally
@@ -18,9 +18,14 @@ _HEADER_END = re.compile(r"^-{3,}\s*$")
 def read_binary(spark: SparkSession, path: str, dims: int, begin: int = 1, end: int = 0, big_endian: bool = False) -> DataFrame:
     """Records of ``dims`` pairs of doubles without gaps: rid (1-based, along the file) and box. begin..end: a range of
     records, 0 for the last. Files are cut at record borders, so large ones are read in parallel."""
-    width = 16 * dims
-    rdd = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
-    raw = spark.createDataFrame(rdd.map(lambda x: (x[1] + 1, bytearray(x[0]))), "rid long, raw binary")
+    jvm, width = spark._jvm, 16 * dims
+    records = spark._jsparkSession.createDataset(spark._jsc.binaryRecords(path, width).rdd(), jvm.org.apache.spark.sql.Encoders.BINARY())
+    rows = DataFrame(records.toDF(), spark).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("_id"))
+    # files are cut alike at each reading, in the order of their bytes: numbers of a partition's records give the places of the next ones
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    raw = rows.withColumn("_part", part).join(before.select("_part", "_before").hint("broadcast"), "_part").select((F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rid"), "raw")
     raw = raw.where((F.col("rid") >= begin) & (F.lit(end <= 0) | (F.col("rid") <= end)))
     names = [f"x{d}_{s}" for d in range(dims) for s in "lh"]
     kind = ">f8" if big_endian else "<f8"
@@ -178,7 +183,8 @@ def write_levels(nodes: DataFrame, path: str) -> None:
 def write_measures(measures: DataFrame, path: str) -> None:
     """Space-separated node measures; lists become one column per item."""
     most = measures.select(F.max(F.size("clipped"))).first()[0] or 0
-    flat = measures.select(*[c for c in measures.columns if c != "clipped"], *[F.get(F.col("clipped"), F.lit(i)).alias(f"clipped{i + 1}_volume") for i in range(most)])
+    lists = {c: f"{c}{{}}_volume" if c == "clipped" else f"{c}{{}}" for c, kind in measures.dtypes if kind.startswith("array")}
+    flat = measures.select(*[c for c in measures.columns if c not in lists], *[F.get(F.col(c), F.lit(i)).alias(name.format(i + 1)) for c, name in lists.items() for i in range(most)])
     flat.write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
 
 

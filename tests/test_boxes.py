@@ -289,6 +289,40 @@ def test_query_boxes_hit_about_k(spark):
     assert len(counts) == 40 and 10 <= np.mean(counts) <= 20
 
 
+def test_densify_is_brute_force(spark):
+    boxes = random_boxes(51, 60)
+    scale = 1 / 2**0.5
+    want = []
+    for i, q in enumerate(boxes, 1):
+        p = [(a + b) / 2 for a, b in q]
+        near = sorted((sum(max(a - x, x - b, 0) ** 2 for (a, b), x in zip(o, p)), j) for j, o in enumerate(boxes, 1))[:2]
+        want += [(i, j, *[x + (v - x) * scale for iv, x in zip(boxes[j - 1], p) for v in iv]) for _, j in near]
+    assert sorted(map(tuple, knn.densify(frame(spark, boxes), 2).collect())) == sorted(want)
+
+
+def test_workload_boxes_touch_the_wanted_records(spark):
+    points = [((i * 7 % 31, i * 7 % 31), (i * 11 % 23, i * 11 % 23)) for i in range(160)]
+    data = frame(spark, points)
+    got = generate.workload(data, 4, each=5).collect()
+    assert sorted(r.qid for r in got) == list(range(10, 161, 10))
+    counts = {r.qid: r.n for r in select.batch_counts(data, spark.createDataFrame(got)).collect()}
+    for r in got:
+        p = [points[r.qid - 1][d][0] for d in (0, 1)]
+        near = sorted((max(abs(o[d][0] - p[d]) for d in (0, 1)), j) for j, o in enumerate(points, 1))
+        boxes = []
+        for want in range(2, 7):
+            some = [points[j - 1] for _, j in near[:want]]
+            boxes.append(tuple(f(p[d], *[o[d][0] for o in some]) for d in (0, 1) for f in (min, max)))
+        assert (r.x0_l, r.x0_h, r.x1_l, r.x1_h) in boxes and counts[r.qid] >= 2
+
+
+def test_shuffled_order(spark):
+    data = frame(spark, random_boxes(61, 300))
+    one, again, other = ([r.rid for r in generate.shuffled(d, seed).collect()] for d, seed in ((data, 1), (data.repartition(7), 1), (data, 2)))
+    assert one == again != other and sorted(one) == sorted(other) == list(range(1, 301))
+    assert abs(np.corrcoef(one, range(300))[0, 1]) < 0.2
+
+
 def test_errors(spark):
     with pytest.raises(ValueError):
         intersects(Box((0,)), Box((0, 1)))
