@@ -7,14 +7,16 @@ it is odd exactly one. So a window that occurs twice has, at each place, an own
    steps reuse it). A chunk hashes every rolling block-sized window and sends the distinct
    hashes, packed to six bytes each, to hash buckets; its aligned blocks are marked as the index entries.
 2. A bucket finds the hashes that two chunks hold and answers each index entry with one bit.
-3. Windows whose own block was hit are the extensions to test. The chunk sends their hashes, over all
-   words of the window, to buckets again, and gets a bit for each.
+3. Windows whose own block was hit are the extensions of the hit by so many words to the left and to the right. All
+   of a hit's extensions are tested at once, by hashes over all their words, which the chunk sends to buckets
+   again, so that a passage with many places needs no pairs of places. The chunk gets a bit for each.
 4. Words under a window that occurs twice, in the chunk or elsewhere, go: runs of such windows are
    exactly the maximal repeats of at least ``window`` words.
 
 Hashes that a chunk has twice are settled there, and each chunk sends a hash once, so a passage that a
 third of all documents share costs one entry per chunk. Chunks and buckets grow in number with the input,
-and in size with its square root at most. Windows are equal when 64 bits of their hash and their bucket agree.
+and in size with its square root at most. Windows are equal when 96 bits of two hashes agree; a block's 64 and 48 bits
+only choose which windows are tested.
 
 Defined results: null and empty texts have no words and stay empty; kept words are joined by one space;
 null doc_ids are dealt by their text; repeated rows count as texts of their own, so both lose what they
@@ -70,18 +72,26 @@ class _Chunk:
         return values, entry & (counts == 1), counts > 1, own
 
     def full(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows whose own block was hit: distinct hashes, unsettled, settled as repeated here, number of each."""
+        """Of the windows whose own block was hit: distinct pairs of hashes (n x 2), unsettled, settled as repeated here, number of each."""
         chosen = self.starts[hit]
         if not len(chosen):
             none = np.zeros(0, np.int64)
-            return np.zeros(0, U64), none.astype(bool), none.astype(bool), none
-        values, which, counts = np.unique(windows(self.h, self.window, 202)[chosen], return_inverse=True, return_counts=True)
-        return values, counts == 1, counts > 1, which
+            return np.zeros((0, 2), U64), none.astype(bool), none.astype(bool), none
+        first, second = (windows(self.h, self.window, seed)[chosen] for seed in (202, 303))
+        second &= U64(0xFFFFFFFF)
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        counts = np.diff(np.append(np.flatnonzero(new), len(new)))
+        return np.stack([first[new], second[new]], 1), counts == 1, counts > 1, which
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Sorted hashes fall into ascending buckets."""
-    return ((values >> U64(32)) * U64(buckets)) >> U64(32)
+    """Sorted hashes (of pairs the first) fall into ascending buckets."""
+    first = values if values.ndim == 1 else values[:, 0]
+    return ((first >> U64(32)) * U64(buckets)) >> U64(32)
 
 
 def _parts(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -98,7 +108,7 @@ ANSWER = "chunk long, stage int, bucket long, bits binary"
 
 
 def _send(chunk: int, values: np.ndarray, asks: np.ndarray, buckets: int, width: int) -> pa.Table:
-    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(len(values), 8 * values[:1].size if len(values) else 8)[:, :width]
     parts = _parts(values, buckets)
     return pa.table(
         {
@@ -114,14 +124,20 @@ def _answer(stage: int, width: int):
     """Of one bucket: a bit for each hash that a chunk asks about, set where another chunk has it too."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = []
+        parts, asked = [], []
         for raw, asks in zip(table.column("hashes").to_pylist(), table.column("asks").to_pylist()):
-            part = np.zeros((len(raw) // width, 8), np.uint8)
+            part = np.zeros((len(raw) // width, 8 * -(-width // 8)), np.uint8)
             part[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-            rows.append((part.view("<u8").reshape(-1), np.unpackbits(np.frombuffer(asks, np.uint8))[: len(part)].astype(bool)))
-        everything = np.sort(np.concatenate([x for x, _ in rows]))
-        twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        bits = [np.packbits(twice[np.minimum(np.searchsorted(twice, x[a]), len(twice) - 1)] == x[a]).tobytes() if len(twice) else b"" for x, a in rows]
+            parts.append(part.view("<u8"))
+            asked.append(np.unpackbits(np.frombuffer(asks, np.uint8))[: len(part)].astype(bool))
+        everything = np.concatenate(parts)
+        order = np.lexsort(everything.T[::-1])
+        same = (everything[order[1:]] == everything[order[:-1]]).all(1)
+        twice = np.zeros(len(order), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        ends = np.cumsum([len(p) for p in parts])
+        bits = [np.packbits(twice[end - len(p) : end][a]).tobytes() for p, a, end in zip(parts, asked, ends)]
         keep = [i for i, x in enumerate(bits) if any(x)]
         return pa.table(
             {
@@ -173,7 +189,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, chunk_bytes: int | None =
         values, asks, known, own = c.anchors()
         hit = _found(values, asks, known, _answers(answers, 1), n)
         values, asks, _, _ = c.full(hit[own])
-        return _send(key[0].as_py(), values, asks, n, 8)
+        return _send(key[0].as_py(), values, asks, n, 12)
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = column(table)
@@ -197,7 +213,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, chunk_bytes: int | None =
 
     grouped = chunks.groupBy("__chunk")
     first = grouped.applyInArrow(anchor, SENT).groupBy("bucket").applyInArrow(_answer(1, 6), ANSWER)
-    second = grouped.cogroup(first.groupBy("chunk")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_answer(2, 8), ANSWER)
+    second = grouped.cogroup(first.groupBy("chunk")).applyInArrow(extend, SENT).groupBy("bucket").applyInArrow(_answer(2, 12), ANSWER)
     return grouped.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(cut, schema)
 
 
