@@ -175,6 +175,32 @@ def test_edited_texts(spark, docs, rows):
             assert getattr(got[k], name) == pytest.approx(1 - (int(got[k].fingerprint, 16) ^ int(other, 16)).bit_count() / 256)
 
 
+def test_simhash_votes(rows):
+    """Each bit against a plain count of votes, term by term."""
+    from boxwright.llm.text import Shingles, Words
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    texts = [r[1] for r in rows[:25]] + ["", "one two", "a b c d e f a b c d e f"]
+    column = pa.array(texts, pa.large_string())
+    s = Shingles(Words(column), 5)
+    for i, mark in enumerate(fingerprint.simhash(column)):
+        votes = [0] * 256
+        for value, weight in zip(s.values[s.bounds[i] : s.bounds[i + 1]].tolist(), s.weights[s.bounds[i] : s.bounds[i + 1]].tolist()):
+            for word in range(4):
+                for byte, x in enumerate(mix((value + 0x9E3779B97F4A7C15 * (word + 1)) & mask).to_bytes(8, "little")):
+                    for bit in range(8):
+                        votes[(word * 8 + byte) * 8 + bit] += weight if x >> (7 - bit) & 1 else -weight
+        w = WORD.findall(texts[i])
+        assert s.bounds[i + 1] - s.bounds[i] == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {0})
+        assert [int(v > 0) for v in votes] == [b >> (7 - k) & 1 for b in mark.tolist() for k in range(8)]
+
+
 @pytest.mark.parametrize("cell", [2, 1000])
 def test_near_pairs_finds_all(spark, cell):
     rng = random.Random(2)
