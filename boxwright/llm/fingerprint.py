@@ -6,15 +6,14 @@ votes are counted byte by byte of the hashes: a weighted histogram of the 256 by
 hash byte, times the signs of the 256 values.
 
 Texts of Jaccard similarity 0.8 over their shingles differ in about 39 of 256 bits, with a deviation of 5.7
-(SimHash's angle); ``RADIUS`` adds three deviations. ``near`` and ``near_pairs`` find the fingerprints within
-a radius. A radius under ``bits / 16`` is cut into radius + 1 blocks: two within it agree on a whole block, so a
-table keyed by each block holds every such pair. At a wider radius such blocks are too short to be selective.
-There each table is keyed by some bits of a permutation, as many as leave ``cell`` fingerprints a bucket at
-most on average, and there are as many tables as two at just the radius need to meet with probability
-``recall`` (nearer ones meet more surely; up to ``cell`` fingerprints are one bucket, so all pairs are seen).
+(SimHash's angle); ``RADIUS`` adds three deviations. ``near`` and ``near_pairs`` find all fingerprints within
+a radius, whatever their number: tables are keyed by some bits of a block of 32, and the keys of ``covering`` are such that any two
+fingerprints within the radius share one (Pagh, CoveringLSH: hashing without false negatives). They depend on
+the radius alone. ``near_pairs`` cuts a radius under ``bits / 16`` into radius + 1 blocks: two within it agree on a whole block.
 The Hamming distance is then checked on all bits. A pair counts in the first table in which it meets, so
-pairs need not be written to be counted once. Equal fingerprints are one entry. Large buckets are dealt
-into cells of a triangle by salted row and column, which bounds the rows of any task.
+pairs need not be written to be counted once. Equal fingerprints are one entry. Fingerprints are dealt into
+cells of a triangle by salted row and column, which bounds the rows of any task; up to ``FEW`` in a task are compared one by
+one. Cells, tables and tasks differ in time only. A cell's tables grow with its rows, the cells with the square of all.
 
 ``edited`` pairs each text with the next by ascending doc_id: rows are dealt into ranges of doc_id
 (quantiles, one number per range on the driver), sorted within, and each range gets a copy of the first
@@ -27,7 +26,7 @@ is itself; an empty table gives an empty table; extra columns aren't carried.
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +42,9 @@ BITS = 256
 #: 39 bits at a similarity of 0.8, and three deviations of 5.7.
 RADIUS = 56
 RANGES = 1 << 14  # of doc_id at most, as each is a literal of the plan; a range is sorted and streamed, not held
+CELL = 1 << 19  # fingerprints of a part on average, 32 bytes each; a task holds two parts
+FEW = 2048  # as many in a unit are compared one by one
+UNITS = 18  # at least
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
 _MIN = -(1 << 63)
 
@@ -90,18 +92,31 @@ def fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def tables_for(n: int, radius: int, bits: int = BITS, cell: int = 2048, recall: float = 0.99) -> np.ndarray:
-    """The bit positions of each table (tables x width) for n fingerprints; one table of no bits up to ``cell``."""
-    width = min(max(0, math.ceil(math.log2(max(n, 1) / cell))), bits - radius)
-    meet = math.comb(bits - radius, width) / math.comb(bits, width)
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet < 1 else 1
-    each = bits // width if width else 1  # tables of one permutation share no bit
-    out = []
-    for k in range(-(-tables // each)):
-        with np.errstate(over="ignore"):
-            order = np.argsort(mix(np.arange(bits, dtype=U64) + U64(1 + k) * U64(0x9E3779B97F4A7C15)))
-        out += [order[i * width : (i + 1) * width] for i in range(each)]
-    return np.array(out[:tables], dtype=int).reshape(tables, width)
+def covering(radius: int, bits: int = BITS) -> list[tuple[int, int, np.ndarray]]:
+    """(block, distance, masks): of any two fingerprints within ``radius``, a block of 32 bits is within its distance,
+    and then they agree on one of its masks or more. No blocks where as many masks would be no less than all pairs."""
+    blocks = bits // 32
+    near = [(block, (radius - block) // blocks) for block in range(blocks)]  # one more in each block would be over the radius in all
+    return [(block, t, _masks(t + 1)) for block, t in near if t >= 0] if near[0][1] <= 10 else []
+
+
+@functools.cache
+def _masks(size: int) -> np.ndarray:
+    """2 ** size - 1 masks of 32 bits: any ``size - 1`` positions are all left out by one of them or more.
+
+    A position is a vector of ``size`` bits, and a mask has the positions whose vectors have an odd product with its
+    own vector: fewer than ``size`` vectors leave a vector to which they are orthogonal. Any vectors do; these are moved
+    as long as fewer pairs agree by chance.
+    """
+    every = np.arange(1, 1 << size, dtype=U64)
+    odd = (np.bitwise_count(every[:, None] & every) & 1).astype(np.float32)  # of a mask and a vector
+    chosen = (mix(np.arange(32, dtype=U64)) % U64(len(every))).astype(int)
+    weight = odd[:, chosen].sum(1)
+    for at in [*range(32)] * 8:
+        rest = weight - odd[:, chosen[at]]
+        chosen[at] = (np.exp2(-rest) @ odd).argmax()  # halves the chance at the masks that have the position
+        weight = rest + odd[:, chosen[at]]
+    return (odd[:, chosen].astype(np.uint32) << np.arange(32, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
 def _raw(batch: pa.RecordBatch, bits: int) -> np.ndarray:
@@ -118,45 +133,18 @@ def _salt(marks: np.ndarray) -> np.ndarray:
     return h
 
 
-def _units(marks: DataFrame, at: np.ndarray, bits: int, cell: int) -> DataFrame:
-    """(unit, t, i, j, parts, marks): the fingerprints of each table's buckets, many in one value; buckets of over 2 * cell in a triangle of parts."""
-    width = at.shape[1]
-    power = 1 << np.arange(width, dtype=np.int64)
-
-    def keys(raw: np.ndarray, t: int) -> np.ndarray:
-        return np.unpackbits(raw, axis=1)[:, at[t]].astype(np.int64) @ power
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = _raw(b, bits)
-            for t in range(len(at)):
-                key, n = np.unique(keys(raw, t), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t), pa.int32()), pa.array(key), pa.array(n, pa.int64())], ["t", "k", "n"])
-
-    sizes = marks.mapInArrow(count, "t int, k long, n long").groupBy("t", "k").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * cell)
-    hot = {(r["t"], r["k"]): -(-r["n"] // cell) for r in sizes.collect()}  # only what is well over the average
+def _units(marks: DataFrame, parts: int, pieces: int, bits: int) -> DataFrame:
+    """(unit, marks): the fingerprints of each cell of a triangle of parts, many in one value, for each piece of the tables."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def write(held: list[np.ndarray]) -> pa.RecordBatch | None:
+        def write(held: list[np.ndarray]) -> pa.RecordBatch:
             raw = np.concatenate(held)
-            salt = _salt(raw)
+            part = (_salt(raw) % U64(parts)).astype(int)
             rows: list[tuple] = []
-            for t in range(len(at)):
-                key = keys(raw, t)
-                order = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.diff(key[order])) + 1
-                for own in np.split(order, cuts):
-                    k = int(key[own[0]])
-                    parts = hot.get((t, k), 1)
-                    if parts == 1:
-                        rows.append((t, k, 0, 0, 1, raw[own].tobytes()))
-                        continue
-                    part = (salt[own] % U64(parts)).astype(int)
-                    for p in np.unique(part).tolist():
-                        value = raw[own[part == p]].tobytes()
-                        rows += [(t, k, min(p, o), max(p, o), parts, value) for o in range(parts)]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)], ["t", "k", "i", "j", "parts", "marks"])
+            for p in np.unique(part).tolist():
+                value = raw[part == p].tobytes()
+                rows += [((min(p, o) * parts + max(p, o)) * pieces + piece, value) for o in range(parts) for piece in range(pieces)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), [pa.int64(), pa.binary()])], ["unit", "marks"])
 
         held: list[np.ndarray] = []
         for b in batches:
@@ -168,75 +156,127 @@ def _units(marks: DataFrame, at: np.ndarray, bits: int, cell: int) -> DataFrame:
             yield write(held)
         release()
 
-    dealt = marks.mapInArrow(deal, "t int, k long, i int, j int, parts int, marks binary")
-    return dealt.select(F.xxhash64("t", "k", "i", "j").alias("unit"), "t", "k", "i", "j", "parts", "marks")
+    return marks.mapInArrow(deal, "unit long, marks binary")
 
 
-def _meetings(t: pa.Table, at: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fingerprints, one, other, distance) of some rows of a unit at a time: the pairs within the radius that meet here first."""
-    raw = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, bits // 8)
-    table, i, j, parts = (t.column(c)[0].as_py() for c in ("t", "i", "j", "parts"))
-    x = np.ascontiguousarray(raw).view(U64)
-    columns = np.ascontiguousarray(x.T)
-    part = _salt(raw) % U64(parts)
-    masks = np.zeros((table, bits), np.uint8)  # of the tables before
-    for k in range(table):
-        masks[k, at[k]] = 1
-    masks = np.packbits(masks, axis=1).view(U64)
-    for first in range(0, len(x), 128):
-        last = min(first + 128, len(x))
-        far = np.zeros((last - first, len(x) - first), np.uint16)
+def _all_pairs(columns: np.ndarray, radius: int, piece: int, pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A piece's pairs within the radius, some rows at a time."""
+    n = columns.shape[1]
+    for first in range(piece * 128, n, pieces * 128):
+        last = min(first + 128, n)
+        far = np.zeros((last - first, n - first), np.uint16)
         for word in columns:
             far += np.bitwise_count(word[first:last, None] ^ word[None, first:])
         one, other = np.nonzero(far <= radius)
         keep = one < other
-        one, other = one[keep], other[keep]
-        distance = far[one, other]
-        one, other = one + first, other + first
-        if i != j:  # two different parts: the pairs inside each are another cell's
-            keep = part[one] != part[other]
-            one, other, distance = one[keep], other[keep], distance[keep]
-        for mask in masks:
-            if not len(one):
-                break
-            used = np.flatnonzero(mask)
-            keep = np.zeros(len(one), bool)
-            for w in used:
-                keep |= ((columns[w][one] ^ columns[w][other]) & mask[w]) != 0
-            one, other, distance = one[keep], other[keep], distance[keep]
-        if len(one):
-            yield raw, one, other, distance
-
-
-def _met(marks: DataFrame, radius: int, bits: int, cell: int, recall: float) -> tuple[DataFrame, np.ndarray]:
-    """The units of the distinct fingerprints, each unit's rows together, and the tables."""
-    own = saved(marks.where("fingerprint IS NOT NULL").select(F.unhex("fingerprint").alias("m")).distinct())
-    at = tables_for(own.count(), radius, bits, cell, recall)
-    units = _units(own, at, bits, cell)
-    order = ["unit", "t", "k", "i", "j"]
-    return units.repartition(partitions(marks.sparkSession), "unit").sortWithinPartitions(*order), at
+        yield one[keep] + first, other[keep] + first
+
+
+def _agreeing(own: np.ndarray, mask: np.uint32, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a block's values that agree on a mask and differ in ``most`` bits at most."""
+    dealt = np.sort((own & mask).astype(U64) << U64(32) | np.arange(len(own), dtype=U64))
+    at = (dealt & U64(0xFFFFFFFF)).astype(np.int64)
+    key, own = (dealt >> U64(32)).astype(np.uint32), own[at]
+    lag, first = 1, np.flatnonzero(key[1:] == key[:-1])
+    while len(first):
+        near = first[np.bitwise_count(own[first] ^ own[first + lag]) <= most]
+        yield at[near], at[near + lag]
+        lag += 1  # equal keys are neighbours, so only rows with an equal one at this lag can have one at the next
+        first = first[: np.searchsorted(first, len(key) - lag)]
+        first = first[key[first + lag] == key[first]]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """One unit at a time, also where two units share a hash."""
-    for t in groups(batches, "unit"):
-        ids = list(zip(*(t.column(c).to_pylist() for c in ("t", "k", "i", "j"))))
-        first = 0
-        for n in range(1, len(ids) + 1):
-            if n == len(ids) or ids[n] != ids[first]:
-                yield t.slice(first, n - first)
-                first = n
+def _meetings(t: pa.Table, parts: int, pieces: int, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprints, one, other, distance), up to some million pairs at a time: those within the radius that this unit counts."""
+    raw = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, bits // 8)
+    cell, piece = divmod(t.column("unit")[0].as_py(), pieces)
+    across = cell // parts != cell % parts  # two different parts: the pairs inside each are another cell's
+    columns = np.ascontiguousarray(raw.view(U64).T)
+    cover = covering(radius, bits)
+    plain = len(raw) <= FEW or not cover
+    if plain:  # all pieces of a cell need one order
+        order = np.lexsort(columns)
+        raw, columns = raw[order], np.ascontiguousarray(columns[:, order])
+    part = _salt(raw) % U64(parts)
+    blocks = {} if plain else {block: np.ascontiguousarray(raw.view(np.uint32)[:, block]) for block, _, _ in cover}
+
+    def within(one: np.ndarray, other: np.ndarray, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        far = np.zeros(len(one), np.uint16)
+        for w in words:
+            far += np.bitwise_count(columns[w][one] ^ columns[w][other])
+        keep = far <= radius
+        return one[keep], other[keep], far[keep]
+
+    def first_met(one: np.ndarray, other: np.ndarray, block: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that meet in none of the tables before: no earlier block is within its distance, and they agree on no earlier mask."""
+        for b, most, masks in cover[: block + 1]:
+            if b < block:
+                keep = np.bitwise_count(blocks[b][one] ^ blocks[b][other]) > most
+                one, other = one[keep], other[keep]
+                continue
+            differ = blocks[b][one] ^ blocks[b][other]
+            for mask in masks[:number]:
+                keep = (differ & mask) != 0
+                if not keep.all():
+                    one, other, differ = one[keep], other[keep], differ[keep]
+        return one, other
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if plain:
+            yield from _all_pairs(columns, radius, piece, pieces)
+            return
+        tables = [(block, most, number, mask) for block, most, masks in cover for number, mask in enumerate(masks)]
+        for block, most, number, mask in tables[piece::pieces]:
+            words = [w for w in range(len(columns)) if w != block // 2][: len(columns) // 2]  # the block's own word says less
+            for one, other in _together(_agreeing(blocks[block], mask, most), 1 << 16):
+                one, other, _ = within(one, other, words)
+                one, other, _ = within(one, other, [*range(len(columns))])
+                yield first_met(one, other, block, number)
+
+    def own() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for one, other in found():
+            keep = part[one] != part[other] if across else slice(None)
+            yield one[keep], other[keep]
+
+    for one, other in _together(own(), 1 << 20):
+        one, other, far = within(one, other, [*range(len(columns))])
+        yield raw, one, other, far
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in lists of about ``size``; no empty one."""
+    held, n = [], 0
+    for pair in pairs:
+        if not len(pair[0]):
+            continue
+        held.append(pair)
+        n += len(pair[0])
+        if n >= size:
+            yield np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
+
+
+def _met(marks: DataFrame, bits: int, cell: int) -> tuple[DataFrame, int, int]:
+    """The units of the distinct fingerprints, each unit's rows together, the parts and the pieces."""
+    own = saved(marks.where("fingerprint IS NOT NULL").select(F.unhex("fingerprint").alias("m")).distinct())
+    n = own.count()
+    parts = max(1, -(-n // cell))
+    pieces = -(-UNITS * 2 // (parts * (parts + 1))) if n > FEW else 1  # few cells are several units each
+    units = _units(own, parts, pieces, bits)
+    return units.repartition(partitions(marks.sparkSession), "unit").sortWithinPartitions("unit"), parts, pieces
 
 
-def near(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: int = 2048, recall: float = 0.99) -> DataFrame:
+def near(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: int = CELL) -> DataFrame:
     """(fingerprint, n_near, near_class) of the fingerprints with others within ``radius``: their number, and the
     smallest fingerprint linked over any number of links. No pair is written."""
-    units, at = _met(marks, radius, bits, cell, recall)
+    units, parts, pieces = _met(marks, bits, cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches):
+        for t in groups(batches, "unit"):
             n, root, raw = None, None, None
-            for raw, one, other, _ in _meetings(t, at, radius, bits):
+            for raw, one, other, _ in _meetings(t, parts, pieces, radius, bits):
                 if n is None:
                     n, root = np.zeros(len(raw), np.int64), np.arange(len(raw))
                 n += np.bincount(one, minlength=len(raw)) + np.bincount(other, minlength=len(raw))
@@ -261,20 +301,19 @@ def near(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: int = 2
     return named.select(F.lower(F.hex("m")).alias("fingerprint"), "n_near", F.lower(F.hex("root")).alias("near_class"))
 
 
-def near_pairs(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: int = 1000, recall: float = 0.99) -> DataFrame:
+def near_pairs(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: int | None = None) -> DataFrame:
     """(a, b, distance): the pairs of different fingerprints within ``radius``, a < b as strings.
 
-    marks: a column ``fingerprint``. All pairs under a radius of bits / 16; from there on, those of just the
-    radius with probability ``recall``. A block value shared by f fingerprints is dealt into
-    ceil(f / cell) salts; each row meets each salt of its bucket in one cell of the triangle, so no task
-    takes a whole hot bucket and no pair is missed.
+    marks: a column ``fingerprint``. Under a radius of bits / 16 a block value shared by f fingerprints is dealt into
+    ceil(f / cell) salts (1,000 a cell unless said); each row meets each salt of its bucket in one cell of the triangle,
+    so no task takes a whole hot bucket and no pair is missed. From there on all fingerprints are dealt so.
     """
     if radius >= bits // 16:
-        units, at = _met(marks, radius, bits, cell, recall)
+        units, parts, pieces = _met(marks, bits, cell or CELL)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _grouped(batches):
-                for raw, one, other, distance in _meetings(t, at, radius, bits):
+            for t in groups(batches, "unit"):
+                for raw, one, other, distance in _meetings(t, parts, pieces, radius, bits):
                     ends = [sorted((raw[i].tobytes().hex(), raw[j].tobytes().hex())) for i, j in zip(one, other)]
                     yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array(distance, pa.int32())], ["a", "b", "distance"])
 
@@ -283,7 +322,7 @@ def near_pairs(marks: DataFrame, radius: int = RADIUS, bits: int = BITS, cell: i
     cuts = np.linspace(0, bits // 4, blocks + 1).astype(int)  # in hexadecimal digits
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.substring("fingerprint", int(a) + 1, int(b - a)).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]))
     keyed = marks.where("fingerprint IS NOT NULL").select("fingerprint").distinct().select("fingerprint", table.alias("t")).select("fingerprint", "t.k", "t.v")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_s", F.ceil(F.col("_n") / cell).cast("int"))
+    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_s", F.ceil(F.col("_n") / (cell or 1000)).cast("int"))
     dealt = keyed.join(sizes, ["k", "v"]).withColumn("_p", F.pmod(F.xxhash64("fingerprint"), F.col("_s")).cast("int"))
     left = dealt.select("k", "v", F.col("fingerprint").alias("a"), F.col("_p").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_j"))
     right = dealt.select("k", "v", F.col("fingerprint").alias("b"), F.col("_p").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_i"))

@@ -1,6 +1,7 @@
 """Results of each operator against brute force, the public library, or DuckDB, on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -258,6 +259,47 @@ def test_near_counts_each_pair_once(spark, cell):
     assert len(pairs) == len({(r.a, r.b) for r in pairs}) == sum(n for _, n, _ in want.values()) // 2
 
 
+@pytest.mark.parametrize("dealt", [{}, {"cell": 2500}])
+def test_near_loses_no_pair_among_many(spark, dealt):
+    """Far more fingerprints than are compared one by one, half of them just within the radius of another."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (3000, 32), np.uint8)
+    flips = np.zeros((3000, 256), np.uint8)
+    for k, row in enumerate(flips):
+        row[rng.choice(256, fingerprint.RADIUS - k % 3, replace=False)] = 1
+    marks = np.concatenate([base, base ^ np.packbits(flips, axis=1)])
+    hexed, want = [m.tobytes().hex() for m in marks], {}
+    for k, m in enumerate(marks):
+        far = np.bitwise_count(marks[k + 1 :] ^ m).sum(1)
+        want |= {tuple(sorted((hexed[k], hexed[k + 1 + o]))): int(far[o]) for o in np.flatnonzero(far <= fingerprint.RADIUS)}
+    assert len(marks) > 2 * fingerprint.FEW and len(want) >= 3000
+    frame = spark.createDataFrame([(h,) for h in hexed], "fingerprint string")
+    pairs = fingerprint.near_pairs(frame, **dealt).collect()
+    assert len(pairs) == len(want) and {(r.a, r.b): r.distance for r in pairs} == want
+    counts = Counter(h for pair in want for h in pair)
+    assert {r.fingerprint: r.n_near for r in fingerprint.near(frame, **dealt).collect()} == counts
+
+
+def test_near_of_a_wide_radius(spark):
+    rng = random.Random(9)
+    marks = [rng.getrandbits(256) for _ in range(300)]
+    want = {tuple(sorted((f"{a:064x}", f"{b:064x}"))) for a, b in itertools.combinations(marks, 2) if (a ^ b).bit_count() <= 120}
+    frame = spark.createDataFrame([(f"{m:064x}",) for m in marks], "fingerprint string")
+    pairs = fingerprint.near_pairs(frame, 120, cell=90).collect()
+    assert len(pairs) == len(want) and {(r.a, r.b) for r in pairs} == want
+
+
+@pytest.mark.parametrize("radius", [7, 20, 56, 87])
+def test_covering_meets_all_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    cover = fingerprint.covering(radius)
+    assert sum(most + 1 for _, most, _ in cover) >= radius + 1 and len({block for block, _, _ in cover}) == len(cover)
+    for _, most, masks in cover:
+        for _ in range(300):
+            differ = np.bitwise_or.reduce(np.uint32(1) << rng.choice(32, most, replace=False).astype(np.uint32), initial=0)
+            assert (masks & np.uint32(differ) == 0).any()
+
+
 def test_op5_reaches_the_near_search(spark):
     rows = queries.QUERIES["op5_simhash"](spark, "/root/testdata/sf0.001").collect()
     marks = sorted({r.fingerprint for r in rows})
