@@ -172,18 +172,29 @@ def _all_pairs(columns: np.ndarray, radius: int, piece: int, pieces: int) -> Ite
         yield one[keep] + first, other[keep] + first
 
 
-def _agreeing(own: np.ndarray, mask: np.uint32, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of a block's values that agree on a mask and differ in ``most`` bits at most."""
+def _agreeing(own: np.ndarray, mask: np.uint32, most: int, words: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a block's values that agree on a mask and differ in ``most`` bits at most, and in ``words`` in ``radius`` at most."""
     dealt = np.sort((own & mask).astype(U64) << U64(32) | np.arange(len(own), dtype=U64))
     at = (dealt & U64(0xFFFFFFFF)).astype(np.int64)
-    key, own = (dealt >> U64(32)).astype(np.uint32), own[at]
-    lag, first = 1, np.flatnonzero(key[1:] == key[:-1])
-    while len(first):
-        near = first[np.bitwise_count(own[first] ^ own[first + lag]) <= most]
+    own, words, n = own[at], [w[at] for w in words], len(own)
+    lag, first = 0, None
+    while first is None or len(first):  # equal keys are neighbours, so only rows with an equal one at this lag can have one at the next
+        lag += 1
+        if first is None:
+            differ = own[lag:] ^ own[:-lag]
+            same = (differ & mask) == 0
+            near = np.flatnonzero(same & (np.bitwise_count(differ) <= most))
+            if np.count_nonzero(same) <= n // 8:  # from here on only these
+                first = np.flatnonzero(same)
+        else:
+            first = first[: np.searchsorted(first, n - lag)]
+            differ = own[first] ^ own[first + lag]
+            same = (differ & mask) == 0
+            first, differ = first[same], differ[same]
+            near = first[np.bitwise_count(differ) <= most]
+        far = sum((np.bitwise_count(w[near] ^ w[near + lag]) for w in words), np.zeros(len(near), np.uint16))
+        near = near[far <= radius]
         yield at[near], at[near + lag]
-        lag += 1  # equal keys are neighbours, so only rows with an equal one at this lag can have one at the next
-        first = first[: np.searchsorted(first, len(key) - lag)]
-        first = first[key[first + lag] == key[first]]
 
 
 def _meetings(t: pa.Table, parts: int, pieces: int, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,10 +211,10 @@ def _meetings(t: pa.Table, parts: int, pieces: int, radius: int, bits: int) -> I
     part = _salt(raw) % U64(parts)
     blocks = {} if plain else {block: np.ascontiguousarray(raw.view(np.uint32)[:, block]) for block, _, _ in cover}
 
-    def within(one: np.ndarray, other: np.ndarray, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         far = np.zeros(len(one), np.uint16)
-        for w in words:
-            far += np.bitwise_count(columns[w][one] ^ columns[w][other])
+        for word in columns:
+            far += np.bitwise_count(word[one] ^ word[other])
         keep = far <= radius
         return one[keep], other[keep], far[keep]
 
@@ -227,10 +238,9 @@ def _meetings(t: pa.Table, parts: int, pieces: int, radius: int, bits: int) -> I
             return
         tables = [(block, most, number, mask) for block, most, masks in cover for number, mask in enumerate(masks)]
         for block, most, number, mask in tables[piece::pieces]:
-            words = [w for w in range(len(columns)) if w != block // 2][: len(columns) // 2]  # the block's own word says less
-            for one, other in _together(_agreeing(blocks[block], mask, most), 1 << 16):
-                one, other, _ = within(one, other, words)
-                one, other, _ = within(one, other, [*range(len(columns))])
+            words = [w for k, w in enumerate(columns) if k != block // 2][: len(columns) // 2]  # the block's own word says less
+            for one, other in _together(_agreeing(blocks[block], mask, most, words, radius), 1 << 16):
+                one, other, _ = within(one, other)
                 yield first_met(one, other, block, number)
 
     def own() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,7 +249,7 @@ def _meetings(t: pa.Table, parts: int, pieces: int, radius: int, bits: int) -> I
             yield one[keep], other[keep]
 
     for one, other in _together(own(), 1 << 20):
-        one, other, far = within(one, other, [*range(len(columns))])
+        one, other, far = within(one, other)
         yield raw, one, other, far
 
 
