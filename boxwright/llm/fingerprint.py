@@ -1,4 +1,4 @@
-"""Document fingerprints: SimHash, and all fingerprints within a Hamming radius by permuted block tables.
+"""Document fingerprints: SimHash, and all fingerprints within a Hamming radius by covering tables.
 
 A text's terms are its distinct 5-word shingles (a shorter text is one term), weighted by their count.
 Each term's hash gives ``BITS`` signed votes; the sign of the weighted sum is the fingerprint's bit. The
@@ -13,7 +13,7 @@ the radius alone. ``near_pairs`` cuts a radius under ``bits / 16`` into radius +
 The Hamming distance is then checked on all bits. A pair counts in the first table in which it meets, so
 pairs need not be written to be counted once. Equal fingerprints are one entry. Fingerprints are dealt into
 cells of a triangle by salted row and column, which bounds the rows of any task; up to ``FEW`` in a task are compared one by
-one. Cells, tables and tasks differ in time only. A cell's tables grow with its rows, the cells with the square of all.
+one. The number of fingerprints changes cells and tasks, never the pairs. The number of cells grows with its square.
 
 ``edited`` pairs each text with the next by ascending doc_id: rows are dealt into ranges of doc_id
 (quantiles, one number per range on the driver), sorted within, and each range gets a copy of the first
